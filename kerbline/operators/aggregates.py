@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.operators.ordered import scan, total
@@ -214,14 +214,19 @@ def weighted_counts(df: DataFrame, factors: Mapping[str, float], cls: str, count
 def peak_hour(df: DataFrame, keys: Sequence[str], quarter: str, volume: str) -> DataFrame:
     """Highest total over four consecutive quarter-hours and the peak-hour factor."""
     quarters = df.groupBy(*keys, quarter).agg(F.sum(volume).alias("__v"))
-    run = scan(quarters, [quarter], keys, previous={"__p1": "__v"})
-    run = scan(run, [quarter], keys, previous={"__p2": "__p1"})
-    run = scan(run, [quarter], keys, previous={"__p3": "__p2"})
-    hour = F.col("__v") + F.col("__p1") + F.col("__p2") + F.col("__p3")
-    top = F.greatest("__v", "__p1", "__p2", "__p3")
-    full = run.filter(F.col("__p3").isNotNull())
+    # one row per quarter-hour: a key's window is as long as the calendar, whatever the traffic
+    w = Window.partitionBy(*keys).orderBy(quarter)
+    lags = [F.lag("__v", k).over(w) for k in (1, 2, 3)]
+    full = quarters.withColumns(
+        {
+            "__hour": F.col("__v") + lags[0] + lags[1] + lags[2],
+            "__top": F.greatest(F.col("__v"), *lags),
+        }
+    ).filter(F.col("__hour").isNotNull())
+    earliest = F.struct("__hour", -F.unix_micros(F.col(quarter).cast("timestamp")))
     return full.groupBy(*keys).agg(
-        F.max(hour).alias("peak_hour_volume"), F.max_by(hour / (4 * top), F.struct(hour, -F.unix_micros(F.col(quarter).cast("timestamp")))).alias("peak_hour_factor")
+        F.max("__hour").alias("peak_hour_volume"),
+        F.max_by(F.col("__hour") / (4 * F.col("__top")), earliest).alias("peak_hour_factor"),
     )
 
 

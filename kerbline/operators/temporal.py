@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.operators.ordered import scan
+from kerbline.session import cut_lineage
 
 
 def micros(c: Column) -> Column:
@@ -104,7 +105,8 @@ def occupancy(stays: DataFrame, start: str, end: str, instants: DataFrame, at: s
 def date_islands(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
     """Runs of consecutive dates per key."""
     days = df.select(*keys, date).distinct()
-    marked = scan(days, [date], keys, previous={"__prev": date})
+    # the run numbers need a second scan over the first one's result: write that result once
+    marked = cut_lineage(scan(days, [date], keys, previous={"__prev": date}))
     starts = F.when(F.datediff(date, "__prev") == 1, 0).otherwise(1)
     runs = scan(marked, [date], keys, sums={"run_no": starts})
     return runs.groupBy(*keys, "run_no").agg(
@@ -241,8 +243,11 @@ def conditional_counts(df: DataFrame, keys: Sequence[str], counts: Mapping[str,
 
 
 def turn_contrast(df: DataFrame, way: str, order: Sequence[str], value: str) -> DataFrame:
-    """Own value minus the mean of the previous and next piece of the same way; 0 when alone."""
-    near = scan(df, list(order), [way], previous={"__p": value}, following={"__n": value})
+    """Piece number, and own value minus the mean of the previous and next piece of the way; 0 when alone."""
+    near = scan(
+        df, list(order), [way],
+        sums={"piece": F.lit(1).cast("long")}, previous={"__p": value}, following={"__n": value},
+    )
     both = F.array_compact(F.array("__p", "__n"))
     mean = F.aggregate(both, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(both), F.lit(0))
     return near.withColumn("contrast", F.coalesce(F.col(value) - mean, F.lit(0.0))).drop("__p", "__n")

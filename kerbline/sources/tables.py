@@ -12,6 +12,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = use_utc(spark), folder.rstrip("/")
+        self._opened: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
@@ -19,4 +20,6 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(self.path(name))
+        if name not in self._opened:  # the footer is read once per query, not once per mention
+            self._opened[name] = self.spark.read.parquet(self.path(name))
+        return self._opened[name]
