@@ -23,20 +23,22 @@ def risk_curve(
 ) -> DataFrame:
     """Each row with the share of length and of target up to and before it, riskiest first."""
     order = risk_order(score, length if longer_first else None, key)
-    run = scan(df, order, per, sums={"__cl": length, "__ct": target})
+    # lengths in whole 0.1 mm: exact sums, so the rows tile the length axis without gaps
+    units = F.round(F.col(length) * 1e4).cast("long")
+    run = scan(df.withColumn("__u", units), order, per, sums={"__cl": "__u", "__ct": target})
+    totals = df.groupBy(*per).agg(F.sum(units).alias("__tl"), F.sum(target).alias("__tt"))
     if per:
-        totals = df.groupBy(*per).agg(F.sum(length).alias("__tl"), F.sum(target).alias("__tt"))
         run = run.join(totals, list(per))
     else:
-        run = run.withColumns({"__tl": total(df, F.sum(length)), "__tt": total(df, F.sum(target))})
+        run = run.withColumns({c: totals.select(c).scalar() for c in ("__tl", "__tt")})
     return run.withColumns(
         {
             "cum_length_share": F.col("__cl") / F.col("__tl"),
             "cum_target_share": F.col("__ct") / F.col("__tt"),
-            "prev_length_share": (F.col("__cl") - F.col(length)) / F.col("__tl"),
+            "prev_length_share": (F.col("__cl") - F.col("__u")) / F.col("__tl"),
             "prev_target_share": (F.col("__ct") - F.col(target)) / F.col("__tt"),
         }
-    ).drop("__cl", "__ct", "__tl", "__tt")
+    ).drop("__u", "__cl", "__ct", "__tl", "__tt")
 
 
 def _interpolated(q: Column) -> Column:
