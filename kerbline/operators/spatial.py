@@ -149,27 +149,34 @@ class Globe:
         return haversine_km(y1, x1, y2, x2) <= self.radius
 
 
-def radius_sum(points: DataFrame, y: str, x: str, weight: str, metric: Flat | Globe, name: str = "nearby", coarse: int = 4, fine: int = 16) -> DataFrame:
+def radius_sum(
+    points: DataFrame, y: str, x: str, weight: str | dict[str, str], metric: Flat | Globe, name: str = "nearby", coarse: int = 4, fine: int = 16
+) -> DataFrame:
     """Weight of all other rows within the radius, own weight taken out, never below 0.
 
+    ``weight`` is one column, or {result name: column} for several sums that share the search.
     Weights are summed per position, per fine and per coarse cell. A coarse cell pair that lies surely
     inside the radius adds one number; an unsure pair is looked at again by fine cells; only fine pairs
     that cross the circle are compared position by position. A crowded spot is therefore added as a sum
     and never meets itself row by row.
     """
-    spot = points.select(F.col(y).alias("py"), F.col(x).alias("px"), F.col(weight).alias("w")).filter(
-        F.col("py").isNotNull() & F.col("px").isNotNull()
-    )
+    named = {name: weight} if isinstance(weight, str) else dict(weight)
+    ws = [f"w{i}" for i in range(len(named))]
+    spot = points.select(
+        F.col(y).alias("py"), F.col(x).alias("px"), *[F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)).alias(w) for c, w in zip(named.values(), ws)]
+    ).filter(F.col("py").isNotNull() & F.col("px").isNotNull())
+    some = F.greatest(*ws) > 0 if len(ws) > 1 else F.col(ws[0]) > 0
 
     def placed(df: DataFrame, side: str) -> DataFrame:
         cy, cx = metric.cells(F.col("py"), F.col("px"), coarse)
         fy, fx = metric.cells(F.col("py"), F.col("px"), fine)
         return df.withColumns({f"{side}0y": cy, f"{side}0x": cx, f"{side}1y": fy, f"{side}1x": fx})
 
-    right = placed(spot.filter(F.col("w") > 0).groupBy("py", "px").agg(F.sum("w").alias("w")), "r").withColumnsRenamed({"py": "ry", "px": "rx"})
+    add = lambda tag="w": [F.sum(w).alias(w.replace("w", tag)) for w in ws]
+    right = placed(spot.filter(some).groupBy("py", "px").agg(*add()), "r").withColumnsRenamed({"py": "ry", "px": "rx"})
     left = placed(spot.select("py", "px").distinct(), "l")
-    r0 = right.groupBy("r0y", "r0x").agg(F.sum("w").alias("w"))
-    r1 = right.groupBy("r0y", "r0x", "r1y", "r1x").agg(F.sum("w").alias("w"))
+    r0 = right.groupBy("r0y", "r0x").agg(*add())
+    r1 = right.groupBy("r0y", "r0x", "r1y", "r1x").agg(*add())
     l0 = left.select("l0y", "l0x").distinct()
     l1 = left.select("l0y", "l0x", "l1y", "l1x").distinct()
 
@@ -178,25 +185,29 @@ def radius_sum(points: DataFrame, y: str, x: str, weight: str, metric: Flat | Gl
     near = near.withColumn("r0x", F.explode(F.sequence(F.col("l0x") - kx, F.col("l0x") + kx)))
     outside, inside = metric.bounds("l0", "r0", coarse)
     pairs0 = near.filter(~outside).join(r0, ["r0y", "r0x"]).withColumn("sure", inside)
-    sum0 = pairs0.filter("sure").groupBy("l0y", "l0x").agg(F.sum("w").alias("s0"))
+    sum0 = pairs0.filter("sure").groupBy("l0y", "l0x").agg(*add("a"))
 
     open0 = pairs0.filter(~F.col("sure")).select("l0y", "l0x", "r0y", "r0x")
     outside, inside = metric.bounds("l1", "r1", fine)
     pairs1 = open0.join(l1, ["l0y", "l0x"]).join(r1, ["r0y", "r0x"]).filter(~outside).withColumn("sure", inside)
-    sum1 = pairs1.filter("sure").groupBy("l1y", "l1x").agg(F.sum("w").alias("s1"))
+    sum1 = pairs1.filter("sure").groupBy("l1y", "l1x").agg(*add("b"))
 
     open1 = pairs1.filter(~F.col("sure")).select("l1y", "l1x", "r1y", "r1x")
-    pairs2 = open1.join(left.select("l1y", "l1x", "py", "px"), ["l1y", "l1x"]).join(right.select("r1y", "r1x", "ry", "rx", "w"), ["r1y", "r1x"])
+    pairs2 = open1.join(left.select("l1y", "l1x", "py", "px"), ["l1y", "l1x"]).join(
+        right.select("r1y", "r1x", "ry", "rx", *ws), ["r1y", "r1x"]
+    )
     exact = metric.within(F.col("py"), F.col("px"), F.col("ry"), F.col("rx"))
-    sum2 = pairs2.filter(exact).groupBy("py", "px").agg(F.sum("w").alias("s2"))
+    sum2 = pairs2.filter(exact).groupBy("py", "px").agg(*add("c"))
 
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     totals = (
         left.join(sum0, ["l0y", "l0x"], "left").join(sum1, ["l1y", "l1x"], "left").join(sum2, ["py", "px"], "left")
-        .select(F.col("py").alias(y), F.col("px").alias(x), (F.coalesce("s0", F.lit(0)) + F.coalesce("s1", F.lit(0)) + F.coalesce("s2", F.lit(0))).alias("__all"))
+        .select(F.col("py").alias(y), F.col("px").alias(x), *[(zero(f"a{i}") + zero(f"b{i}") + zero(f"c{i}")).alias(f"__t{i}") for i in range(len(ws))])
     )
     out = points.join(totals, [y, x], "left")
-    own = F.coalesce(F.greatest(F.col(weight), F.lit(0)), F.lit(0))
-    return out.withColumn(name, F.greatest(F.col("__all") - own, F.lit(0))).select(*points.columns, name)
+    own = [F.coalesce(F.greatest(F.col(c), F.lit(0)), F.lit(0)) for c in named.values()]
+    sums = [F.greatest(F.col(f"__t{i}") - o, F.lit(0)).alias(n) for i, (n, o) in enumerate(zip(named, own))]
+    return out.select(*points.columns, *sums)
 
 
 # ---------------------------------------------------------------- grid sums
