@@ -11,6 +11,7 @@ from kerbline.functions.geo import local_km
 from kerbline.functions.values import clip, flag, mapped
 from kerbline.operators.ordered import scan
 from kerbline.operators.relational import group_values
+from kerbline.session import cut_lineage
 from kerbline.operators.spatial import Globe, disk_sum, distance_to_marked, radius_sum
 
 GRID_KM = 0.2
@@ -26,8 +27,8 @@ PLACE_KINDS = ["market_shop", "education", "health", "transit", "eatery", "worsh
 
 def regional_rate(df: DataFrame, region: Sequence[str], count: str, km: str, months: Column) -> DataFrame:
     """Events per km and month of the whole region, the row itself included."""
-    both = group_values(df, list(region), {"__e": F.sum(count), "__km": F.sum(km)})
-    return both.withColumn("regional_rate", F.col("__e") / F.col("__km") / months).drop("__e", "__km")
+    both = group_values(df, list(region), {"__events": F.sum(count), "__road": F.sum(km)})
+    return both.withColumn("regional_rate", F.col("__events") / F.col("__road") / months).drop("__events", "__road")
 
 
 class Grid:
@@ -50,10 +51,14 @@ def cell_sums(placed: DataFrame, weight: Column) -> DataFrame:
     return placed.groupBy("iy", "ix").agg(F.sum(weight).alias("v"))
 
 
-def around(placed: DataFrame, cells: DataFrame, radius_km: float, name: str, whole: bool = False) -> DataFrame:
-    """Attach the sum of cell values within a radius of each row's cell."""
-    sums = disk_sum(cells, placed, radius_km, GRID_KM, name, None if whole else 1e-6)
-    return placed.join(sums, ["iy", "ix"], "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
+def around(rows: DataFrame, asked: DataFrame, cells: DataFrame, radius_km: float, name: str, whole: bool = False) -> DataFrame:
+    """Attach the sum of cell values within a radius of each row's cell.
+
+    ``asked`` holds the cells of the rows; it is passed apart from them so that a chain of attached sums
+    stays a chain of joins and never repeats the work of the sums before.
+    """
+    sums = disk_sum(cells, asked, radius_km, GRID_KM, name, None if whole else 1e-6)
+    return rows.join(sums, ["iy", "ix"], "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 
 
 def static_features(segments: DataFrame, places: DataFrame, pixels: DataFrame) -> DataFrame:
@@ -85,6 +90,7 @@ def static_features(segments: DataFrame, places: DataFrame, pixels: DataFrame) -
     s = grid.place(s.drop("__t", "__p", "__n"), "mid_lat", "mid_lon")
 
     own = grid.place(segments, "mid_lat", "mid_lon")
+    asked = own.select("iy", "ix").distinct()
     km = F.col("length_m") / 1000
     spots = grid.place(places, "lat", "lon")
     light = grid.place(pixels, "lat", "lon")
@@ -92,19 +98,19 @@ def static_features(segments: DataFrame, places: DataFrame, pixels: DataFrame) -
     all_spots = cell_sums(spots, F.lit(1))
     road, main = cell_sums(own, km), cell_sums(own, km * F.col("is_main_road"))
     lit, seen = cell_sums(light, F.col("radiance_nw")), cell_sums(light, F.lit(1))
-    s = around(s, cell_sums(own, F.col("junctions")), 1.0, "junctions_1km", True)
-    s = around(s, all_spots, 0.5, "poi_500m", True)
-    s = around(s, all_spots, 2.0, "poi_2km", True)
-    s = around(s, schools, 0.5, "school_500m", True)
+    s = around(s, asked, cell_sums(own, F.col("junctions")), 1.0, "junctions_1km", True)
+    s = around(s, asked, all_spots, 0.5, "poi_500m", True)
+    s = around(s, asked, all_spots, 2.0, "poi_2km", True)
+    s = around(s, asked, schools, 0.5, "school_500m", True)
     for r in (3, 10):
-        s = around(around(s, lit, float(r), "__lit"), seen, float(r), "__seen", True)
+        s = around(around(s, asked, lit, float(r), "__lit"), asked, seen, float(r), "__seen", True)
         s = s.withColumn(f"night_light_{r}km", F.col("__lit") / F.greatest("__seen", F.lit(1))).drop("__lit", "__seen")
-    s = around(s, road, 1.0, "road_km_1km")
-    s = around(s, road, 5.0, "road_km_5km")
-    s = around(s, main, 1.0, "main_road_km_1km")
+    s = around(s, asked, road, 1.0, "road_km_1km")
+    s = around(s, asked, road, 5.0, "road_km_5km")
+    s = around(s, asked, main, 1.0, "main_road_km_1km")
     bright = light.filter(F.col("radiance_nw") >= 20)
-    s = s.join(distance_to_marked(bright, s, 50.0, GRID_KM, "dist_to_town_km"), ["iy", "ix"])
-    s = s.join(distance_to_marked(main.filter(F.col("v") > 0), s, 20.0, GRID_KM, "dist_to_main_road_km"), ["iy", "ix"])
+    s = s.join(distance_to_marked(bright, asked, 50.0, GRID_KM, "dist_to_town_km"), ["iy", "ix"])
+    s = s.join(distance_to_marked(main.filter(F.col("v") > 0), asked, 20.0, GRID_KM, "dist_to_main_road_km"), ["iy", "ix"])
     return s.withColumn("light_contrast", F.log1p("night_light") - F.log1p("night_light_3km")).drop("iy", "ix")
 
 
@@ -131,10 +137,17 @@ def history_features(
     )
     own = ["own_ksi", "own_events", "own_fatal", "own_ksi_recent"]
     s = segments.join(counts, "segment_id", "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in own})
+    s = cut_lineage(s)  # read by three searches and the regional totals
     small, mid, large = radii
-    s = radius_sum(s, "lat", "lon", {"__s": "own_ksi"}, Globe(small))
-    s = radius_sum(s, "lat", "lon", {"__m": "own_ksi", "__e": "own_events", "__f": "own_fatal", "__r": "own_ksi_recent"}, Globe(mid))
-    s = radius_sum(s, "lat", "lon", {"__l": "own_ksi"}, Globe(large))
+    wanted = {
+        small: {"__s": "own_ksi"},
+        mid: {"__m": "own_ksi", "__e": "own_events", "__f": "own_fatal", "__r": "own_ksi_recent"},
+        large: {"__l": "own_ksi"},
+    }
+    spots = s.select("segment_id", "lat", "lon", *own)
+    for radius, sums in wanted.items():
+        found = radius_sum(spots, "lat", "lon", sums, Globe(radius)).select("segment_id", *sums)
+        s = s.join(found, "segment_id")
     s = s.withColumns({"data_months": n, "__nr": n_recent, "__km": F.col("length_m") / 1000})
     per = F.col("data_months")
     s = s.withColumns(
@@ -152,9 +165,11 @@ def history_features(
     if road_km:
         s = s.withColumns({"__road_m": F.col(road_km[0]), "__road_l": F.col(road_km[1])})
     else:
-        placed = Grid(segments, "lat", "lon").place(s, "lat", "lon")
-        cells = cell_sums(placed, F.col("__km"))
-        s = around(around(placed, cells, mid, "__road_m"), cells, large, "__road_l").drop("iy", "ix")
+        grid = Grid(segments, "lat", "lon")
+        placed = grid.place(segments, "lat", "lon")
+        cells, asked = cell_sums(placed, F.col("length_m") / 1000), placed.select("iy", "ix").distinct()
+        s = grid.place(s, "lat", "lon")
+        s = around(around(s, asked, cells, mid, "__road_m"), asked, cells, large, "__road_l").drop("iy", "ix")
     expected = lambda c: F.col("regional_rate") * F.greatest(F.col(c) - F.col("__km"), F.lit(0.05)) + 1e-4
     s = s.withColumns(
         {

@@ -42,12 +42,16 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
     edges = df.agg(*[pick(F.col(f).cast("double")).alias(f"e{i}") for i, f in enumerate(features)])
     held = df.select(F.col(target).alias("y"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]).dropna()
     held = held.withColumns({f"e{i}": edges.select(f"e{i}").scalar() for i in range(len(features))})
+
+    def bin_of(i: int) -> Column:
+        return F.size(F.filter(f"e{i}", lambda c: c < F.col(f"x{i}")))
+
     long = held.select(
         "y",
         F.inline(
             F.array(
                 *[
-                    F.struct(F.lit(f).alias("feature"), F.size(F.filter(f"e{i}", lambda c, i=i: c < F.col(f"x{i}"))).alias("bin"))
+                    F.struct(F.lit(f).alias("feature"), bin_of(i).alias("bin"))
                     for i, f in enumerate(features)
                 ]
             )
