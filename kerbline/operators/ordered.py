@@ -79,13 +79,12 @@ def scan(
     slices = slices or parallelism(df.sparkSession)
     parts = list(partition_by)
     order = [f"__o{i}" for i in range(len(order_by))]
-    work = df
-    for name, c in zip(order, order_by):
-        work = work.withColumn(name, _column(c))
     groups = {"s": sums, "l": last_known, "n": next_known, "p": previous, "f": following}
-    for tag, items in groups.items():
-        for i, c in enumerate(items.values()):
-            work = work.withColumn(f"__{tag}{i}", _column(c))
+    work = df.select(
+        "*",
+        *[_column(c).alias(name) for name, c in zip(order, order_by)],
+        *[_column(c).alias(f"__{tag}{i}") for tag, items in groups.items() for i, c in enumerate(items.values())],
+    )
     key = F.struct(*[F.col(p) for p in parts], *[F.col(o) for o in order])
     work = slice_rows(work, key, slices)
 
@@ -130,7 +129,9 @@ def scan(
 
     local = Window.partitionBy("__slice", *parts).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = local.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # a frame to the end of the slice would be summed anew for every row; read backwards it is a running one
+    back = Window.partitionBy("__slice", *parts).orderBy(*[F.col(o).desc() for o in order])
+    onward = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = []
     for i, name in enumerate(sums):
         out.append(
@@ -139,7 +140,7 @@ def scan(
     for i, name in enumerate(last_known):
         out.append(F.coalesce(F.last(f"__l{i}", True).over(upto), F.col(f"__cl{i}")).alias(name))
     for i, name in enumerate(next_known):
-        out.append(F.coalesce(F.first(f"__n{i}", True).over(onward), F.col(f"__cn{i}")).alias(name))
+        out.append(F.coalesce(F.last(f"__n{i}", True).over(onward), F.col(f"__cn{i}")).alias(name))
     first_here = F.row_number().over(local) == 1
     for i, name in enumerate(previous):
         out.append(F.when(first_here, F.col(f"__cp{i}")).otherwise(F.lag(f"__p{i}").over(local)).alias(name))

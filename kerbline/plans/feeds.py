@@ -21,10 +21,10 @@ def readings(t):
 
 @query(
     "poll_series",
-    f"WITH {POLLS} SELECT poll, tiles, road_pieces, round(mean_level, 5) AS mean_level, round(slow_share, 5) AS slow_share, closures, readings, (sum(road_pieces) OVER (ORDER BY poll))::BIGINT AS cumulative_pieces FROM p",
+    f"WITH {POLLS} SELECT poll, tiles, road_pieces, round(mean_level, 9) AS mean_level, round(slow_share, 9) AS slow_share, closures, readings, (sum(road_pieces) OVER (ORDER BY poll))::BIGINT AS cumulative_pieces FROM p",
 )
 def poll_series(t):
-    return rounded(traffic.poll_series(readings(t), "ts", "tile", "piece", "level", F.col("event_type") == "error"), 5)
+    return rounded(traffic.poll_series(readings(t), "ts", "tile", "piece", "level", F.col("event_type") == "error"), 9)
 
 
 @query(
@@ -136,7 +136,7 @@ def stream_dedupe(t):
 
 @query(
     "stream_window",
-    f"WITH {POLLS} SELECT poll, round(mean_level, 5) AS mean_level, round(slow_share, 5) AS slow_share, closures, readings FROM p",
+    f"WITH {POLLS} SELECT poll, round(mean_level, 9) AS mean_level, round(slow_share, 9) AS slow_share, closures, readings FROM p",
 )
 def stream_window(t):
     """The poll series as a windowed stream; its distinct counts are approximate and left out here."""
@@ -145,4 +145,4 @@ def stream_window(t):
     )
     w = traffic.poll_windows(s, "t", "tile", "piece", "level", F.col("event_type") == "error")
     out = traffic.run_updates(w, "windows", ["poll"])
-    return rounded(out.select(F.col("poll").cast("timestamp_ntz").alias("poll"), "mean_level", "slow_share", "closures", "readings"), 5)
+    return rounded(out.select(F.col("poll").cast("timestamp_ntz").alias("poll"), "mean_level", "slow_share", "closures", "readings"), 9)
