@@ -167,10 +167,12 @@ def log_if_long_tailed(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def fill_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Missing numbers take the column median (one aggregate, used as a scalar subquery)."""
+    """Missing numbers take the column median, used as a scalar subquery."""
+    from kerbline.operators.aggregates import exact_percentiles
+
     out = df
     for c in cols:
-        out = out.withColumn(c, F.coalesce(F.col(c), df.agg(F.percentile(c, F.lit(0.5))).scalar()))
+        out = out.withColumn(c, F.coalesce(F.col(c), exact_percentiles(df, [], c, {"median": 0.5}).scalar()))
     return out
 
 

@@ -43,45 +43,53 @@ def cross_tab(df: DataFrame, row: str, col: str, levels: Sequence, by: str = "ro
 
 def stats_pack(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """n, mean, sample sd, p15, p50, p85, p98, min, max (linear percentiles)."""
-    qs = {"p15": 0.15, "p50": 0.5, "p85": 0.85, "p98": 0.98}
-    out = df.groupBy(*keys).agg(
+    plain = df.groupBy(*keys).agg(
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("sd"),
-        F.percentile(value, F.array(*[F.lit(q) for q in qs.values()])).alias("__p"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
-    return out.withColumns({n: F.get("__p", i) for i, n in enumerate(qs)}).drop("__p")
+    ranks = exact_percentiles(df, keys, value, {"p15": 0.15, "p50": 0.5, "p85": 0.85, "p98": 0.98})
+    return plain.join(ranks, list(keys), "left")
 
 
-def weibull_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
-    """Percentiles with rank h = q·(n+1): weighted distinct values, running ranks, two neighbours.
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float], weibull: bool = False) -> DataFrame:
+    """Exact percentiles of groups of any size: linear (rank 1 + q·(n-1)) or Weibull (rank q·(n+1)).
 
-    Works on counts per distinct value, so a key with very many rows is combined before it is ordered.
+    Spark's own ``percentile`` holds every distinct value of a group in one task. Here the values of a
+    group are counted, put in order in slices, and only the two neighbours of each rank are kept.
     """
     known = df.filter(F.col(value).isNotNull())
     per_value = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     run = scan(per_value, [value], keys, sums={"__hi": "__c"})
     sizes = per_value.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    ranked = run.join(sizes, list(keys))
-    aggs = [F.max("__n").alias("n")]
-    for q in qs:
-        h = F.greatest(F.lit(1.0), F.least(q * (F.col("__n") + 1), F.col("__n").cast("double")))
-        lo, hi = F.floor(h), F.ceil(h)
-        has = lambda r: (F.col("__hi") >= r) & (F.col("__hi") - F.col("__c") < r)
-        tag = round(q * 100)
-        aggs += [
-            F.max(F.when(has(lo), F.col(value))).alias(f"__lo{tag}"),
-            F.max(F.when(has(hi), F.col(value))).alias(f"__hi{tag}"),
-        ]
+    ranked = run.join(sizes, list(keys)) if keys else run.withColumn("__n", sizes.scalar())
+
+    def rank(q: float, n: Column) -> Column:
+        if not weibull:
+            return 1 + q * (n - 1)
+        return F.greatest(F.lit(1.0), F.least(q * (n + 1), n.cast("double")))
+
+    def at(r: Column) -> Column:
+        return F.max(F.when((F.col("__hi") >= r) & (F.col("__hi") - F.col("__c") < r), F.col(value)))
+
+    aggs = [F.max("__n").alias("__n")]
+    for i, q in enumerate(wanted.values()):
+        h = rank(q, F.col("__n"))
+        aggs += [at(F.floor(h)).alias(f"__lo{i}"), at(F.ceil(h)).alias(f"__up{i}")]
     out = ranked.groupBy(*keys).agg(*aggs)
-    made = {}
-    for q in qs:
-        tag = round(q * 100)
-        h = F.greatest(F.lit(1.0), F.least(q * (F.col("n") + 1), F.col("n").cast("double")))
-        made[f"w{tag}"] = F.col(f"__lo{tag}") + (h - F.floor(h)) * (F.col(f"__hi{tag}") - F.col(f"__lo{tag}"))
-    return out.withColumns(made).select(*keys, "n", *made)
+    made = []
+    for i, (name, q) in enumerate(wanted.items()):
+        h = rank(q, F.col("__n"))
+        made.append((F.col(f"__lo{i}") + (h - F.floor(h)) * (F.col(f"__up{i}") - F.col(f"__lo{i}"))).alias(name))
+    return out.select(*keys, *made)
+
+
+def weibull_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
+    """Percentiles with rank h = q·(n+1), with the group size."""
+    sizes = df.groupBy(*keys).agg(F.count(value).alias("n"))
+    return sizes.join(exact_percentiles(df, keys, value, {f"w{round(q * 100)}": q for q in qs}, weibull=True), list(keys))
 
 
 def field_profile(df: DataFrame, fields: Sequence[str], vague: Sequence[str]) -> DataFrame:
@@ -298,12 +306,9 @@ def condition_table(df: DataFrame, conditions: Mapping[str, Column], outcomes: M
 
 def delay_profile(df: DataFrame, delay: Column, keys: Sequence[str], low: float, high: float, over: float) -> DataFrame:
     """Median delay and share over a limit after dropping implausible delays."""
-    ok = df.withColumn("__d", delay).filter(F.col("__d").between(low, high))
-    return ok.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile("__d", F.lit(0.5)).alias("median"),
-        F.avg((F.col("__d") > over).cast("double")).alias("share_over"),
-    )
+    ok = df.select(*keys, delay.alias("__d")).filter(F.col("__d").between(low, high))
+    plain = ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("__d") > over).cast("double")).alias("share_over"))
+    return plain.join(exact_percentiles(ok, keys, "__d", {"median": 0.5}), list(keys))
 
 
 def monthly_counts(df: DataFrame, ts: str, keys: Sequence[str], counts: Mapping[str, Column]) -> DataFrame:

@@ -175,15 +175,15 @@ def fit_conditional_logit(df: DataFrame, stratum: str, is_case: str, terms: Sequ
         for step in range(1, max_steps + 1):
             e = F.exp(sum((float(b) * x for b, x in zip(beta, xs)), F.lit(0.0)))
             sets = data.withColumn("__e", e).groupBy(stratum).agg(
-                F.sum("__e").alias("s"),
-                *[F.sum(F.col("__e") * xs[i]).alias(f"m{i}") for i in range(p)],
-                *[F.sum(F.col("__e") * xs[i] * xs[j]).alias(f"q{i}_{j}") for i, j in _upper(p)],
-                *[F.sum(F.when(F.col(is_case) == 1, xs[i]).otherwise(0.0)).alias(f"c{i}") for i in range(p)],
+                F.sum("__e").alias("__s"),
+                *[F.sum(F.col("__e") * xs[i]).alias(f"__m{i}") for i in range(p)],
+                *[F.sum(F.col("__e") * xs[i] * xs[j]).alias(f"__q{i}_{j}") for i, j in _upper(p)],
+                *[F.sum(F.when(F.col(is_case) == 1, xs[i]).otherwise(0.0)).alias(f"__c{i}") for i in range(p)],
             )
-            mean = lambda i: F.col(f"m{i}") / F.col("s")
+            mean = lambda i: F.col(f"__m{i}") / F.col("__s")
             row = sets.agg(
-                *[F.sum(F.col(f"c{i}") - mean(i)).alias(f"g{i}") for i in range(p)],
-                *[F.sum(F.col(f"q{i}_{j}") / F.col("s") - mean(i) * mean(j)).alias(f"h{i}_{j}") for i, j in _upper(p)],
+                *[F.sum(F.col(f"__c{i}") - mean(i)).alias(f"g{i}") for i in range(p)],
+                *[F.sum(F.col(f"__q{i}_{j}") / F.col("__s") - mean(i) * mean(j)).alias(f"h{i}_{j}") for i, j in _upper(p)],
                 F.count(F.lit(1)).alias("n"),
             ).first()
             g, h = np.array([row[f"g{i}"] or 0.0 for i in range(p)]), _matrix(row, p, "h")
