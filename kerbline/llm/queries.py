@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import exact, mixing
+from kerbline.llm import exact, language, mixing, packing, tokens
 from kerbline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,34 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op1_language")
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every whole text, learnt from the rows that are not held out."""
+    docs = documents(spark, folder)
+    judged = language.identify(docs.select("doc_id", "text"), language.train(docs))
+    return judged.select(
+        "doc_id", language.held_out().alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score")
+    )
+
+
+@query("op4_curve_packing")
+def op4_curve_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents packed into sequences of 4096 ids along a Hilbert curve."""
+    return packing.pack(documents(spark, folder), tokenizer_file()).drop("ids")
+
+
+@query("op7_rank_merging")
+def op7_rank_merging(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every whole text."""
+    return tokens.token_counts(documents(spark, folder), tokenizer_file())
+
+
 @query("op9_pareto_mix", mixing.SQL)
 def op9_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Sources mixed to weights 5, 2, 1, with at most three copies of a document."""
