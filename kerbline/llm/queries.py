@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import exact, language, mixing, packing, tokens
+from kerbline.llm import exact, language, minhash, mixing, packing, tokens
 from kerbline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op2_minhash", minhash.SQL)
+def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components at a Jaccard similarity of 0.75 on five-word shingles."""
+    return minhash.near_duplicates(documents(spark, folder))
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
