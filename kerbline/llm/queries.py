@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import exact, language, minhash, mixing, packing, tokens
+from kerbline.llm import exact, language, minhash, mixing, packing, substrings, tokens
 from kerbline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, folder))
 
 
+@query("op3_lempel_ziv", substrings.SQL)
+def op3_lempel_ziv(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts without the words of 20-word windows that start earlier."""
+    return substrings.remove_repeats(documents(spark, folder)).drop("kept_text")
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
