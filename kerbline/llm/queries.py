@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import exact, language, minhash, mixing, packing, substrings, tokens
-from kerbline.llm.common import documents
+from kerbline.llm import exact, language, minhash, mixing, neighbours, packing, substrings, tokens
+from kerbline.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,6 +64,12 @@ def op7_rank_merging(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(documents(spark, folder), tokenizer_file())
 
 
+@query("op8_learned_partitions")
+def op8_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    return neighbours.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op9_pareto_mix", mixing.SQL)
 def op9_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Sources mixed to weights 5, 2, 1, with at most three copies of a document."""
