@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import exact, language, minhash, mixing, neighbours, packing, substrings, tokens
+from kerbline.llm import exact, language, minhash, mixing, neighbours, packing, substrings, tokens, urls
 from kerbline.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,12 @@ def op4_curve_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), tokenizer_file()).drop("ids")
 
 
+@query("op5_url_rules", urls.SQL)
+def op5_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts on all pages' URLs: the list's, else the mined rules'."""
+    return urls.judge_urls(table(spark, folder, "pages"))
+
+
 @query("op7_rank_merging")
 def op7_rank_merging(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every whole text."""
