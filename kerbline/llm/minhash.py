@@ -89,13 +89,15 @@ def _one_set(text: str | None) -> np.ndarray:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, similar: int = SIMILAR, of: int = OF) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough.
+    """The pairs (hub, rep) whose full shingle sets are similar enough, as links (a, b).
 
     Only texts of candidate documents reach Python; a hub's text follows the shuffle once per pair.
     """
     kind = docs.schema["id"].dataType.simpleString()
-    full = pairs.join(docs.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b").join(
-        docs.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a"
+    full = (
+        pairs.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+        .join(docs.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
+        .join(docs.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a")
     )
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,46 +136,57 @@ def near_duplicates(
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketched = cut_lineage(sketches(own))
     linked = sketched.filter("high is not null and id is not null")
-    classes = linked.groupBy("high", "low").agg(F.min("id").alias("rep"))
-    members = cut_lineage(linked.select("id", "high", "low").join(classes, ["high", "low"]).select("id", "rep").distinct())
-    reps = members.filter("id = rep").select("id")
-    meeting = linked.join(reps, "id").select(F.col("id").alias("rep"), "n", F.explode("bands").alias("key"))
-    buckets = meeting.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least != most").select("key")
-    crowded = cut_lineage(meeting.join(buckets, "key").distinct())
-    links = None
+    classes = linked.groupBy("high", "low").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    meeting = classes.select("rep", "n", F.explode("bands").alias("key"))
+    hubs = meeting.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("least"), F.max(F.struct("rep", "n")).alias("most")).filter("least.rep != most.rep")
+    stars = cut_lineage(meeting.join(hubs, "key"))
+    # a class first tries the one hub it shares most bands with: that settles most of a large group with a pair a member
+    pairs = cut_lineage(_star_pairs(stars, similar, of))
+    best = pairs.groupBy("rep").agg(F.min_by("hub", F.struct(-F.col("bands"), F.col("hub"))).alias("hub"))
+    links = cut_lineage(confirmed(best, own, similar, of))
+    parts = connected_components(links)
     while True:
-        hubs = crowded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("least"), F.max(F.struct("rep", "n")).alias("most"))
-        stars = crowded.join(hubs, "key").select(F.explode(F.array("least", "most")).alias("hub"), "rep", "n")
-        fits = of * F.least("n", "hub.n") >= similar * F.greatest("n", "hub.n")  # else the sizes alone rule it out
-        pairs = stars.filter((F.col("hub.rep") != F.col("rep")) & fits).select(F.least("hub.rep", "rep").alias("a"), F.greatest("hub.rep", "rep").alias("b"))
-        found = cut_lineage(confirmed(pairs.distinct(), own, similar, of).distinct())
-        if links is None:
-            links = found
-        elif found.isEmpty():
-            break
-        else:
-            links = cut_lineage(links.unionByName(found).distinct())
-        parts = connected_components(links)
         label = parts.select(F.col("node").alias("rep"), "component")
-        labelled = crowded.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        apart = labelled.groupBy("key").agg(
-            F.min_by("component", "rep").alias("first"), F.max_by("component", "rep").alias("last"), F.min("component").alias("low"), F.max("component").alias("high")
-        ).filter("low != high")
-        rest = labelled.join(apart, "key").filter("component != first and component != last").select("key", "rep", "n", "component")
-        several = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
-        crowded = cut_lineage(rest.join(several, "key").select("rep", "n", "key"))
-        if crowded.isEmpty():
+        hub_label = label.withColumnsRenamed({"rep": "hub", "component": "hub_component"})
+        apart = F.coalesce("component", "rep") != F.coalesce("hub_component", "hub")
+        open_pairs = pairs.join(label, "rep", "left").join(hub_label, "hub", "left").filter(apart).select("hub", "rep")
+        found = cut_lineage(confirmed(open_pairs, own, similar, of))
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            parts = connected_components(links)
+            label = parts.select(F.col("node").alias("rep"), "component")
+        stars = _left_over(stars, label)
+        pairs = cut_lineage(_star_pairs(stars, similar, of))
+        if pairs.isEmpty():
             break
-    component = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "id", F.coalesce("component", "rep").alias("component")
-    )
-    joined = sketched.select("id", "n").join(component, "id", "left")
+    component = classes.select("high", "low", "rep").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    named = sketched.select("id", "n", F.when(F.col("id").isNotNull(), F.col("high")).alias("high"), "low")
+    joined = named.join(component.select("high", "low", F.coalesce("component", "rep").alias("component")), ["high", "low"], "left")
     result = F.coalesce("component", "id")
     return joined.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), result.alias("component_id"), F.coalesce(result == F.col("id"), F.lit(True)).alias("kept")
     )
 
 
+def _star_pairs(stars: DataFrame, similar: int, of: int) -> DataFrame:
+    """(hub, rep, bands): links from a bucket's smallest and largest member to its others, and in how many buckets they met."""
+    each = stars.select(F.explode(F.array("least", "most")).alias("hub"), "rep", "n")
+    fits = of * F.least("n", "hub.n") >= similar * F.greatest("n", "hub.n")  # else the sizes alone rule it out
+    met = each.filter((F.col("hub.rep") != F.col("rep")) & fits).select(F.col("hub.rep").alias("hub"), "rep")
+    return met.groupBy("hub", "rep").agg(F.count(F.lit(1)).alias("bands"))
+
+
+def _left_over(stars: DataFrame, label: DataFrame) -> DataFrame:
+    """Buckets of the members that are linked with neither hub of their bucket, with hubs of their own."""
+    labelled = stars.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    ends = labelled.groupBy("key").agg(F.min_by("component", "rep").alias("first"), F.max_by("component", "rep").alias("last"))
+    rest = cut_lineage(labelled.select("key", "rep", "n", "component").join(ends, "key").filter("component != first and component != last").drop("first", "last"))
+    hubs = rest.groupBy("key").agg(
+        F.min(F.struct("rep", "n")).alias("least"), F.max(F.struct("rep", "n")).alias("most"), F.min("component").alias("low"), F.max("component").alias("high")
+    ).filter("low != high")
+    return cut_lineage(rest.drop("component").join(hubs.drop("low", "high"), "key"))
+
+
 SQL = r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents
