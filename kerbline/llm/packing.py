@@ -24,50 +24,70 @@ REMEMBERED = 500_000
 
 
 class WordEncoder:
-    """Token ids of texts by the public library, one library call per new word: no token crosses an ASCII space here."""
+    """Token ids of texts by the public library: no token crosses an ASCII space, so each new word is encoded once.
+
+    A plain word, letters and then perhaps marks, is the ids of its letters and of its marks; the library gets
+    the plain words of a piece of text together, and the ids that end a word tell them apart.
+    """
+
+    MARKS = b".,;:!?*%$&#|()-"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        rng = np.random.default_rng(7)
+        vocab = self.tokenizer.get_vocab()
+        self.kind = "<u2" if len(vocab) <= 1 << 16 else "<u4"
+        self.width = int(self.kind[2])
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         #: Random signs: the projection of each hashed token to a few dimensions.
-        self.projection = rng.choice(np.array([-1.0, 1.0], np.float32), (self.tokenizer.get_vocab_size(), DIMENSIONS))
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids = [np.zeros(0, np.uint32)]
-        self.start, self.length = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        self.total = 0
-
-    def learn(self, unseen: list[bytes]) -> None:
-        if not unseen:
-            return
-        found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in unseen], add_special_tokens=False)]
-        length = np.array([len(f) for f in found], np.int64)
-        self.place.update(zip(unseen, range(len(self.place), len(self.place) + len(unseen))))
-        self.ids.append(np.array([i for f in found for i in f], np.uint32))
-        self.start.append(np.cumsum(length) - length + self.total)
-        self.length.append(length)
-        self.total += int(length.sum())
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, one END_ID after each, and how many ids each text has."""
-        if len(self.place) > REMEMBERED:
-            self.forget()
+        self.projection = np.random.default_rng(7).choice(np.array([-1.0, 1.0], np.float32), (len(self.ends), DIMENSIONS))
+        self.end = np.array([END_ID], self.kind).tobytes()
+        self.ids: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    def _alone(self, some: list[bytes]) -> dict[bytes, bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+        return {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(some, found)}
+
+    def _together(self, some: list[bytes]) -> dict[bytes, bytes]:
+        out: dict[bytes, bytes] = {}
+        for at in range(0, len(some), 1000):
+            block = some[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(b" ".join(block).decode(), add_special_tokens=False).ids, np.int64)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(block):  # not one run of letters each, after all
+                out |= self._alone(block)
+                continue
+            blob, cuts = ids.astype(self.kind).tobytes(), np.r_[0, cuts] * self.width
+            out |= {w: blob[a:b] for w, a, b in zip(block, cuts[:-1].tolist(), cuts[1:].tolist())}
+        return out
+
+    def learn(self, unseen: set[bytes]) -> None:
+        plain, marked, others = [], [], []
+        for word in unseen:
+            core = word.rstrip(self.MARKS)
+            if core.isalpha() or (core and not core.isascii() and core.decode().isalpha()):
+                core = core.lower() if core.isascii() else core
+                marked.append((word, core, word[len(core) :]))
+                plain += [p for p in marked[-1][1:] if p and p not in self.parts]
+            else:
+                others.append(word)
+        self.parts |= self._together(list(dict.fromkeys(plain)))
+        self.parts[b""] = b""
+        self.ids.update((word, self.parts[core] + self.parts[marks]) for word, core, marks in marked)
+        self.ids |= self._alone(others)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Each text's ids in bytes, with END_ID after them."""
+        if len(self.ids) > REMEMBERED:
+            self.ids, self.parts = {}, {}
         split = [t.split() for t in texts]
-        self.learn(list(set().union(*split).difference(self.place)))
-        for name in ("ids", "start", "length"):
-            setattr(self, name, [np.concatenate(getattr(self, name))])
-        n_words = np.array([len(s) for s in split], np.int64)
-        place = np.fromiter((p for s in split for p in map(self.place.__getitem__, s)), np.int64, int(n_words.sum()))
-        length = self.length[0][place]
-        upto = np.r_[0, np.cumsum(length)]
-        ids = self.ids[0][np.repeat(self.start[0][place] - upto[:-1], length) + np.arange(upto[-1])]
-        ends = upto[np.cumsum(n_words)]
-        return np.insert(ids, ends, END_ID), np.diff(np.r_[0, ends]) + 1
+        self.learn(set().union(*split).difference(self.ids))
+        known = self.ids.__getitem__
+        return [b"".join(map(known, s)) + self.end for s in split]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -118,16 +138,15 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer)
-        wide = "<u2" if made.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
             own = batch.column("id")
             for at, to, data, offsets in words.pieces(batch, "text"):
                 raw = data.tobytes()
-                ids, counts = made.encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])])
-                keys = curve_keys(ids, counts, made.projection)
-                blob, cuts = ids.astype(wide).tobytes(), np.r_[0, np.cumsum(counts)] * int(wide[2])
+                blobs = made.encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])])
+                counts = np.array([len(b) for b in blobs]) // made.width
+                keys = curve_keys(np.frombuffer(b"".join(blobs), made.kind), counts, made.projection)
                 yield pa.RecordBatch.from_arrays(
-                    [own.slice(at, to - at), pa.array(keys), pa.array(counts), pa.array([blob[a:b] for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())],
+                    [own.slice(at, to - at), pa.array(keys), pa.array(counts), pa.array(blobs, pa.binary())],
                     names=["id", "key", "n", "ids"],
                 )
 
