@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import exact, language, minhash, mixing, neighbours, packing, substrings, tokens, urls
+from kerbline.llm import exact, language, minhash, mixing, neighbours, packing, substrings, tokens, toxicity, urls
 from kerbline.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,17 @@ def op5_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(table(spark, folder, "pages"))
 
 
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every whole text, learnt from the labelled rows that are not held out."""
+    docs = documents(spark, folder)
+    judged = toxicity.judge(docs.select("doc_id", "text"), toxicity.train(docs, table(spark, folder, "labels")))
+    score = F.col("__toxic_score")
+    return judged.select(
+        "doc_id", language.held_out().alias("held_out"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 @query("op7_rank_merging")
 def op7_rank_merging(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every whole text."""
