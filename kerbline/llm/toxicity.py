@@ -186,8 +186,8 @@ class ToxicityModel:
     def fit(self, texts: list[bytes], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> None:
         """Each toxic text is sure to hold one toxic word, and a clean one none: words and machine are found in turns.
 
-        The first words are those most characteristic of toxic texts.  In a round the machine is trained on each toxic
-        text's most toxic word against clean texts' words, above all those it took for toxic before.
+        The first words are those most characteristic of toxic texts.  In a round the machine is trained on these and on each
+        toxic text's most toxic word, against clean texts' words, above all those it took for toxic before.
         """
         bags = [sorted({p for w in units(t) for p in parts_of(letters(w.decode("utf-8", "replace"))) if len(p) >= 3}) for t in texts]
         y = np.array(toxic) == 1
@@ -221,7 +221,11 @@ class ToxicityModel:
         pool |= {place[w] for w in common[:500]}
         current = contrast
         for _ in range(rounds):
-            witnesses = Counter(int(b[np.argmax(current[b])]) for b, label in zip(bags, y) if label and len(b))
+            witnesses: Counter = Counter()
+            for b, label in zip(bags, y):
+                if label and len(b):
+                    telling = (df0[b] == 0) & (contrast[b] >= max(5.0, 0.7 * contrast[b].max()))
+                    witnesses.update({*b[telling].tolist(), int(b[np.argmax(current[b])])})
             if current is not contrast:
                 pool |= {int(w) for b, label in zip(bags, y) if not label and len(b) for w in b[np.argsort(-current[b])[:3]]}
             against = sorted(pool)
