@@ -1,11 +1,38 @@
-"""The corpus pipeline: documents to packed sequences, stage by stage."""
+"""The corpus pipeline: documents to packed sequences, stage by stage.
+
+Every stage takes the table that its predecessor kept, with the columns of documents, and works on all of it.
+Stages handle null and empty texts, ties, repeated rows, empty tables and extra columns as their operators state.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kerbline.llm import exact, language, minhash, mixing, packing
+from kerbline.llm.common import documents, written
+
+#: A language that is less probable than this is none.
+LEAST_LANGUAGE = 0.4
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
-from kerbline.llm import exact, mixing
-from kerbline.llm.common import documents
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no language that the labelled ones teach go: no letter in the text, or no language probable enough.
+
+    Where nothing is labelled, only texts without a letter go.
+    """
+    model = language.train(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    judged = language.identify(docs, model)
+    kept = (F.col("__lang_pred") != language.UNKNOWN) & (F.col("__lang_score") >= LEAST_LANGUAGE)
+    return judged.filter(kept).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,19 +40,37 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.keep_one(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component stays: that of the smallest id."""
+    gone = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: documents leave, or come up to three times."""
     return mixing.mixed(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("mix_sources", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 ids along the curve: the pieces of documents, with their ids (unsigned 32-bit, little-endian)."""
+    return packing.pack(docs, tokenizer_file())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", exact_dedup),
+    ("minhash_near_dedup", near_dedup),
+    ("pareto_mix", mix_sources),
+    ("curve_packing", pack_sequences),
+]
 
-#: Language ID, MinHash bands and packing are beyond SQL; tests hold the stages against brute force.
+#: A classifier, a tokenizer and a curve are beyond SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage keeps is written to the shared folder and read by the next one."""
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

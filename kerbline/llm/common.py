@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.session import cut_lineage, parallelism
+from kerbline.session import cut_lineage, parallelism, shared_folder
 
-__all__ = ["SPACE", "WORD", "cut_lineage", "decoded", "documents", "parallelism", "table", "text_or_empty", "word_count"]
+__all__ = ["SPACE", "WORD", "cut_lineage", "documents", "parallelism", "table", "text_or_empty", "word_count", "written"]
 
 #: The white space that separates words, and a word.
 SPACE = r"[\x20\x09-\x0D]"
@@ -31,6 +33,8 @@ def word_count(c: str = "text") -> Column:
     return F.regexp_count(text_or_empty(c), F.lit(WORD)).cast("long")
 
 
-def decoded(column) -> list[str]:
-    """Texts of an Arrow string column, null as empty."""
-    return [x or "" for x in column.to_pylist()]
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table of their own in the shared folder, which the caller clears."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
