@@ -20,6 +20,8 @@ SHINGLE = 5
 BANDS, ROWS = 50, 6
 BINS = BANDS * ROWS
 SIMILAR, OF = 75, 100
+#: Rows at most of the table that holds back texts that meet no other.
+SLOTS = 1 << 19
 
 _rng = np.random.default_rng(11)
 #: For each empty bin, the order in which it asks the others: the same for all documents.
@@ -88,16 +90,30 @@ def _one_set(text: str | None) -> np.ndarray:
     return shingle_sets(data, np.array([0, len(data)]))[0]
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, similar: int = SIMILAR, of: int = OF) -> DataFrame:
-    """The pairs (hub, rep) whose full shingle sets are similar enough, as links (a, b).
+def candidate_texts(docs: DataFrame, sizes: DataFrame, stars: DataFrame) -> DataFrame:
+    """id, n and text of the classes that meet others.
 
-    Only texts of candidate documents reach Python; a hub's text follows the shuffle once per pair.
+    Most texts meet none and needn't be shuffled: a table of at most SLOTS hash slots holds back those whose slot
+    no candidate has, before the join on the ids themselves.
     """
-    kind = docs.schema["id"].dataType.simpleString()
+    met = stars.select(F.col("rep").alias("id")).distinct()
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
+    slots = met.select(slot.alias("slot")).distinct()
+    near = docs.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").select("id", "text")
+    return cut_lineage(near.join(met.join(sizes, "id"), "id").select("id", "n", "text"))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, similar: int = SIMILAR, of: int = OF) -> DataFrame:
+    """The pairs (hub, rep) whose full shingle sets are similar enough, as links (a, b); sizes alone rule some out.
+
+    A hub's text follows the shuffle once per pair.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
     full = (
         pairs.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-        .join(docs.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
-        .join(docs.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a")
+        .join(texts.select(F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("text").alias("b_text")), "b")
+        .join(texts.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("text").alias("a_text")), "a")
+        .filter(of * F.least("a_n", "b_n") >= similar * F.greatest("a_n", "b_n"))
     )
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,27 +152,32 @@ def near_duplicates(
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketched = cut_lineage(sketches(own))
     linked = sketched.filter("high is not null and id is not null")
-    classes = linked.groupBy("high", "low").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    meeting = classes.select("rep", "n", F.explode("bands").alias("key"))
-    hubs = meeting.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("least"), F.max(F.struct("rep", "n")).alias("most")).filter("least.rep != most.rep")
+    classes = linked.groupBy("high", "low").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+    banded = linked.groupBy("high", "low").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    meeting = banded.select("rep", F.explode("bands").alias("key"))
+    hubs = meeting.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least != most")
     stars = cut_lineage(meeting.join(hubs, "key"))
+    texts = candidate_texts(own.filter("id is not null"), classes.select(F.col("rep").alias("id"), "n"), stars)
     # a class first tries the one hub it shares most bands with: that settles most of a large group with a pair a member
-    pairs = cut_lineage(_star_pairs(stars, similar, of))
+    pairs = cut_lineage(_star_pairs(stars))
     best = pairs.groupBy("rep").agg(F.min_by("hub", F.struct(-F.col("bands"), F.col("hub"))).alias("hub"))
-    links = cut_lineage(confirmed(best, own, similar, of))
+    links = cut_lineage(confirmed(best, texts, similar, of))
     parts = connected_components(links)
+    again = False
     while True:
         label = parts.select(F.col("node").alias("rep"), "component")
         hub_label = label.withColumnsRenamed({"rep": "hub", "component": "hub_component"})
         apart = F.coalesce("component", "rep") != F.coalesce("hub_component", "hub")
         open_pairs = pairs.join(label, "rep", "left").join(hub_label, "hub", "left").filter(apart).select("hub", "rep")
-        found = cut_lineage(confirmed(open_pairs, own, similar, of))
+        found = cut_lineage(confirmed(open_pairs, texts, similar, of))
         if not found.isEmpty():
             links = links.unionByName(found)
             parts = connected_components(links)
             label = parts.select(F.col("node").alias("rep"), "component")
-        stars = _left_over(stars, label)
-        pairs = cut_lineage(_star_pairs(stars, similar, of))
+        elif again:
+            break
+        stars, again = _left_over(stars, label), True
+        pairs = cut_lineage(_star_pairs(stars))
         if pairs.isEmpty():
             break
     component = classes.select("high", "low", "rep").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -168,11 +189,9 @@ def near_duplicates(
     )
 
 
-def _star_pairs(stars: DataFrame, similar: int, of: int) -> DataFrame:
+def _star_pairs(stars: DataFrame) -> DataFrame:
     """(hub, rep, bands): links from a bucket's smallest and largest member to its others, and in how many buckets they met."""
-    each = stars.select(F.explode(F.array("least", "most")).alias("hub"), "rep", "n")
-    fits = of * F.least("n", "hub.n") >= similar * F.greatest("n", "hub.n")  # else the sizes alone rule it out
-    met = each.filter((F.col("hub.rep") != F.col("rep")) & fits).select(F.col("hub.rep").alias("hub"), "rep")
+    met = stars.select(F.explode(F.array("least", "most")).alias("hub"), "rep").filter("hub != rep")
     return met.groupBy("hub", "rep").agg(F.count(F.lit(1)).alias("bands"))
 
 
@@ -180,9 +199,9 @@ def _left_over(stars: DataFrame, label: DataFrame) -> DataFrame:
     """Buckets of the members that are linked with neither hub of their bucket, with hubs of their own."""
     labelled = stars.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     ends = labelled.groupBy("key").agg(F.min_by("component", "rep").alias("first"), F.max_by("component", "rep").alias("last"))
-    rest = cut_lineage(labelled.select("key", "rep", "n", "component").join(ends, "key").filter("component != first and component != last").drop("first", "last"))
+    rest = labelled.select("key", "rep", "component").join(ends, "key").filter("component != first and component != last").select("key", "rep", "component")
     hubs = rest.groupBy("key").agg(
-        F.min(F.struct("rep", "n")).alias("least"), F.max(F.struct("rep", "n")).alias("most"), F.min("component").alias("low"), F.max("component").alias("high")
+        F.min("rep").alias("least"), F.max("rep").alias("most"), F.min("component").alias("low"), F.max("component").alias("high")
     ).filter("low != high")
     return cut_lineage(rest.drop("component").join(hubs.drop("low", "high"), "key"))
 
