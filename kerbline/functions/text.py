@@ -124,9 +124,16 @@ def without_neighbour_prefix(value: Column, previous: Column) -> Column:
 
 
 def contains_in_order(text: Column, phrase: Column, max_gap: int = 40) -> Column:
-    """True when the phrase's words occur in the text in order with fewer than max_gap characters between."""
+    """True when some word of the text holds the phrase's first word and each next one stands in the nearest later
+    word that holds it, fewer than ``max_gap`` words on; every word that holds the first is tried as a start."""
     pieces = F.transform(
         F.filter(F.split(phrase, r"\s+"), lambda w: w != ""),
         lambda w: F.regexp_replace(w, r"([\\.\[\]{}()*+?^$|])", r"\\$1"),
     )
-    return F.regexp_like(text, F.concat(F.lit("(?s)"), F.array_join(pieces, f".{{0,{max_gap - 1}}}?")))
+    first = F.concat(F.lit(r"(?<!\S)\S*"), F.get(pieces, 0), F.lit(r"\S*"))
+    # words that don't hold the next one are passed over for good: no backtracking
+    onward = F.transform(
+        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
+        lambda w: F.concat(F.lit(r"(?:\s+(?!\S*"), w, F.lit(rf")\S+){{0,{max_gap - 2}}}+\s+\S*"), w, F.lit(r"\S*")),
+    )
+    return F.when(F.size(pieces) > 0, F.regexp_like(text, F.concat(first, F.array_join(onward, "")))).otherwise(F.lit(False))

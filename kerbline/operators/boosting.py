@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbline.operators.selection import quantile_edges
 from kerbline.session import cut_lineage
 
 
@@ -71,9 +72,8 @@ def fit_poisson_boost(
     The driver sees split tables only: at most models · 2^depth rows per level.
     """
     features = list(features)
-    probs = [i / bins for i in range(1, bins)]
-    quantiles = df.approxQuantile(features, probs, 0.001)
-    edges = [sorted(set(q)) for q in quantiles]
+    quantiles = quantile_edges(df, features, bins)
+    edges = [sorted(set(quantiles.get(f, []))) for f in features]
     models = folds if fold else 1
     off = F.col(offset) if offset else F.lit(0.0)
     held_out = F.col(fold) if fold else F.lit(-1)

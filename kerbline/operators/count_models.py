@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -21,6 +22,7 @@ class Fit:
     alpha: float = 0.0
     steps: int = 0
     rows: int = 0
+    converged: bool = True
 
     def linear(self, offset: Column | None = None) -> Column:
         eta = offset if offset is not None else F.lit(0.0)
@@ -38,6 +40,13 @@ class Fit:
         return spark.createDataFrame(rows, "term string, coefficient double, ratio double, ci95_low double, ci95_high double, p_value double")
 
 
+def _checked(fit: Fit) -> Fit:
+    """Say so when a fit ran out of steps."""
+    if not fit.converged:
+        warnings.warn(f"no convergence after {fit.steps} steps: {', '.join(fit.terms)}", RuntimeWarning, stacklevel=3)
+    return fit
+
+
 def _upper(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
@@ -119,7 +128,7 @@ def fit_negative_binomial(
                 a = min(max(1 / r, 1e-6), 1e3)
             if moved < tol and shift < 1e-6:
                 break
-        return Fit(names, beta, cov, a, step, n)
+        return _checked(Fit(names, beta, cov, a, step, n, moved < tol and shift < 1e-6))
     finally:
         data.unpersist()
 
@@ -145,6 +154,9 @@ def fit_negative_binomial_by_fold(df: DataFrame, y: str, terms: Sequence[str], f
                 fits[k] = Fit(names, betas[k], np.linalg.pinv(xwx), alpha, step, n)
             if moved < tol:
                 break
+        for fit in fits.values():
+            fit.converged = moved < tol
+            _checked(fit)
         return fits
     finally:
         data.unpersist()
@@ -193,7 +205,7 @@ def fit_conditional_logit(df: DataFrame, stratum: str, is_case: str, terms: Sequ
             beta = beta + (move if size <= 2 else move * (2 / size))
             if size < tol:
                 break
-        return Fit(list(terms), beta, cov, 0.0, step, row["n"])
+        return _checked(Fit(list(terms), beta, cov, 0.0, step, row["n"], size < tol))
     finally:
         data.unpersist()
 

@@ -30,7 +30,7 @@ def issues(df: DataFrame, record_id: str, table: str, rules: Sequence[Rule]) ->
                     F.struct(
                         F.lit(r.level).alias("level"),
                         F.lit(r.field).alias("field"),
-                        F.substring(r.value.cast("string"), 1, 500).alias("value"),
+                        r.value.cast("string").alias("value"),
                         (r.message if isinstance(r.message, Column) else F.lit(r.message)).alias("issue"),
                     ),
                 )

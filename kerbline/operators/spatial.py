@@ -25,7 +25,12 @@ def edge_cells(edges: DataFrame, size: float, reach: float) -> DataFrame:
     hi = lambda a, b: F.floor((F.greatest(a, b) + reach) / size)
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     out = edges.withColumn("cx", F.explode(F.sequence(lo(x1, x2), hi(x1, x2))))
-    out = out.withColumn("cy", F.explode(F.sequence(lo(y1, y2), hi(y1, y2))))
+    # of each column of cells only the rows beside the part of the edge that the column can reach
+    at = lambda x: F.coalesce((x - x1) / F.nullif(x2 - x1, F.lit(0.0)), F.lit(0.0))
+    left, right = at(F.col("cx") * size - reach), at((F.col("cx") + 1) * size + reach)
+    inside = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    ends = [F.when(x1 == x2, y1).otherwise(y1 + inside(F.least(left, right)) * (y2 - y1)), F.when(x1 == x2, y2).otherwise(y1 + inside(F.greatest(left, right)) * (y2 - y1))]
+    out = out.withColumn("cy", F.explode(F.sequence(lo(*ends), hi(*ends))))
     centre = point_edge_distance((F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size, x1, y1, x2, y2)
     return out.filter(centre <= reach + size * math.sqrt(0.5) + 1e-6)
 
@@ -107,20 +112,33 @@ class Flat:
         slack = 1e-9 * self.radius
         return gap > self.radius + slack, span < self.radius - slack
 
+    def beside(self, cx: Column, k: Column, split: int) -> Column:
+        return F.sequence(cx - k, cx + k)
+
     def within(self, y1: Column, x1: Column, y2: Column, x2: Column) -> Column:
         return F.pow(y1 - y2, 2) + F.pow(x1 - x2, 2) <= self.radius**2
 
 
 class Globe:
-    """Degrees with great-circle kilometres; cells get wider in degrees of longitude by a fixed factor."""
+    """Degrees with great-circle kilometres; cells get wider in degrees of longitude by a fixed factor.
+
+    A whole number of cells goes round the globe, so cells on both sides of the 180th meridian are neighbours.
+    """
 
     def __init__(self, radius_km: float, typical_lat: float = 26.0):
         self.radius = radius_km
         self.lat_deg = math.degrees(radius_km / 6371.0)
-        self.lon_deg = self.lat_deg / math.cos(math.radians(typical_lat))
+        self.round = max(1, math.floor(360 * math.cos(math.radians(typical_lat)) / self.lat_deg))
+        self.lon_deg = 360 / self.round
 
     def cells(self, y: Column, x: Column, split: int) -> tuple[Column, Column]:
-        return F.floor(y / (self.lat_deg / split)), F.floor(x / (self.lon_deg / split))
+        return F.floor(y / (self.lat_deg / split)), F.pmod(F.floor((x + 180) / (self.lon_deg / split)), F.lit(self.round * split))
+
+    def beside(self, cx: Column, k: Column, split: int) -> Column:
+        """The cells at most k columns away, round the globe, each once."""
+        n = self.round * split
+        steps = F.sequence(-F.least(k, F.lit((n - 1) // 2)), F.least(k, F.lit(n // 2)))
+        return F.transform(steps, lambda d: F.pmod(cx + d, F.lit(n)))
 
     def reach(self, cy: Column, split: int) -> tuple[Column, Column]:
         edge = F.least((F.abs(cy) + 1) * (self.lat_deg / split) + self.lat_deg, F.lit(89.0))
@@ -131,6 +149,7 @@ class Globe:
     def bounds(self, a: str, b: str, split: int) -> tuple[Column, Column]:
         la, lo = self.lat_deg / split, self.lon_deg / split
         dy, dx = F.abs(F.col(f"{a}y") - F.col(f"{b}y")), F.abs(F.col(f"{a}x") - F.col(f"{b}x"))
+        dx = F.least(dx, self.round * split - dx)
 
         def cosines(side: str) -> tuple[Column, Column]:
             south, north = F.col(f"{side}y") * la, (F.col(f"{side}y") + 1) * la
@@ -182,7 +201,7 @@ def radius_sum(
 
     ky, kx = metric.reach(F.col("l0y"), coarse)
     near = l0.withColumn("r0y", F.explode(F.sequence(F.col("l0y") - ky, F.col("l0y") + ky)))
-    near = near.withColumn("r0x", F.explode(F.sequence(F.col("l0x") - kx, F.col("l0x") + kx)))
+    near = near.withColumn("r0x", F.explode(metric.beside(F.col("l0x"), kx, coarse)))
     outside, inside = metric.bounds("l0", "r0", coarse)
     pairs0 = near.filter(~outside).join(r0, ["r0y", "r0x"]).withColumn("sure", inside)
     sum0 = pairs0.filter("sure").groupBy("l0y", "l0x").agg(*add("a"))

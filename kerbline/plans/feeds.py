@@ -130,19 +130,17 @@ def stream_dedupe(t):
     """Every reading delivered twice; the stream keeps one."""
     s = traffic.file_stream(t.spark, t.path("events")).withColumn("t", F.col("ts").cast("timestamp"))
     twice = s.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    kept = traffic.without_repeats(twice, "t", ["event_id"], "2 hours").select("event_id", "user_id", "value")
+    kept = traffic.without_repeats(twice, "t", ["event_id"]).select("event_id", "user_id", "value")
     return traffic.run_append(kept, "dedupe")
 
 
 @query(
     "stream_window",
-    f"WITH {POLLS} SELECT poll, round(mean_level, 9) AS mean_level, round(slow_share, 9) AS slow_share, closures, readings FROM p",
+    f"WITH {POLLS} SELECT poll, tiles, road_pieces, round(mean_level, 9) AS mean_level, round(slow_share, 9) AS slow_share, closures, readings FROM p",
 )
 def stream_window(t):
-    """The poll series as a windowed stream; its distinct counts are approximate and left out here."""
+    """The poll series of a stream, with late readings and exact distinct counts."""
     s = traffic.file_stream(t.spark, t.path("events")).select(
         F.col("ts").cast("timestamp").alias("t"), (F.col("user_id") % 10).alias("tile"), F.col("user_id").alias("piece"), (F.col("value") / 100).alias("level"), "event_type"
     )
-    w = traffic.poll_windows(s, "t", "tile", "piece", "level", F.col("event_type") == "error")
-    out = traffic.run_updates(w, "windows", ["poll"])
-    return rounded(out.select(F.col("poll").cast("timestamp_ntz").alias("poll"), "mean_level", "slow_share", "closures", "readings"), 9)
+    return rounded(traffic.run_poll_windows(s, "t", "tile", "piece", "level", F.col("event_type") == "error"), 9)

@@ -75,14 +75,28 @@ def cond_logit_pairs(t):
     return rounded(fit.table(t.spark).select("term", "ratio", "ci95_low", "ci95_high"), 5)
 
 
-@query("cond_logit")
+@query(
+    "cond_logit",
+    # a set lies in one place, so its likelihood has one slope: that of other places, or its sum with the interaction
+    f"""WITH RECURSIVE {CASES},
+g AS (SELECT busy, m, k, c, count(*) AS n FROM (SELECT stratum_id, (max(cell) < 5)::INT AS busy, count(*) AS m, sum(exposed) AS k, sum(exposed * is_case) AS c FROM ex GROUP BY 1 HAVING sum(is_case) = 1 AND count(*) >= 2) q GROUP BY ALL),
+it AS (SELECT 0 AS step, busy, 0::DOUBLE AS th, 0::DOUBLE AS info FROM (SELECT DISTINCT busy FROM g) q
+  UNION ALL
+  SELECT step + 1, busy, th + sum(n * (c - p)) / sum(n * p * (1 - p)), sum(n * p * (1 - p)) FROM (SELECT it.step, it.busy, it.th, g.n, g.c, g.k * exp(it.th) / (g.k * exp(it.th) + g.m - g.k) AS p FROM it JOIN g USING (busy) WHERE it.step < 30) q GROUP BY step, busy, th),
+z AS (SELECT max(th) FILTER (WHERE busy = 0) AS t0, max(th) FILTER (WHERE busy = 1) AS t1, max(1 / info) FILTER (WHERE busy = 0) AS v0, max(1 / info) FILTER (WHERE busy = 1) AS v1 FROM it WHERE step = 30),
+b AS (SELECT 'exposed' AS term, t0 AS b, sqrt(v0) AS se FROM z UNION ALL SELECT 'exposed_x_busy', t1 - t0, sqrt(v0 + v1) FROM z),
+pv AS (SELECT term, 1 - sqrt(2 / pi()) * sum((CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-power(abs(b / se) * i / 1000.0::DOUBLE, 2) / 2)) * abs(b / se) / 3000 AS p FROM b, (SELECT unnest(range(0, 1001)) AS i) q GROUP BY term, b, se),
+f AS (SELECT term, b, exp(b) AS ratio, exp(b - 196e-2 * se) AS lo, exp(b + 196e-2 * se) AS hi, p FROM b JOIN pv USING (term))
+SELECT term, round(b, 5) AS coefficient, round(ratio, 5) AS ratio, round(lo, 5) AS ci95_low, round(hi, 5) AS ci95_high, round(p, 5) AS p_value,
+  CASE WHEN hi < 1 THEN 'fewer events' WHEN lo > 1 THEN 'more events' ELSE 'no clear change' END AS reading, CASE WHEN lo > 1 THEN round_even(ratio, 3) ELSE 1 END::DOUBLE AS multiplier FROM f""",
+)
 def cond_logit(t):
     """All controls, an exposure and its interaction with a place flag."""
     d = exposed_place_hours(t).withColumns({"busy": (F.col("cell") < 5).cast("int"), "exposed_x_busy": F.col("exposed") * (F.col("cell") < 5).cast("int")})
     fit = cm.fit_conditional_logit(d, "stratum_id", "is_case", ["exposed", "exposed_x_busy"])
     out = fit.table(t.spark)
     low, high = F.col("ci95_low"), F.col("ci95_high")
-    return out.withColumns({"reading": tmp.reading_of(low, high), "multiplier": tmp.safe_multiplier(F.col("ratio"), low)})
+    return rounded(out.withColumns({"reading": tmp.reading_of(low, high), "multiplier": tmp.safe_multiplier(F.col("ratio"), low)}), 5)
 
 
 @query(
@@ -167,13 +181,13 @@ d AS (SELECT *, sum(n) OVER (PARTITION BY feature, bin) AS nb, sum(n) OVER (PART
 SELECT feature, round(sum(n / nn * ln(n * nn / (nb * ny))), 6) AS mutual_information FROM d GROUP BY 1""",
 )
 def mutual_information(t):
-    return rounded(sel.mutual_information(t.part, ["p_size", "p_retailprice"], "p_type", 10, exact=True), 6)
+    return rounded(sel.mutual_information(t.part, ["p_size", "p_retailprice"], "p_type", 10), 6)
 
 
 @query("pca_variance")
 def pca_variance(t):
     """Variance table of the standardised embedding coordinates."""
-    wide = t.embeddings.select(*[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(16)])
+    wide = t.embeddings.select(*[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(64)])
     return sel.principal_components(wide, wide.columns)[0]
 
 
@@ -193,7 +207,7 @@ def redundant_features(t):
     "bootstrap_gain",
     f"""WITH {SEG}, s AS (SELECT id, length_m, future, past + 1e-2 * past_all AS sa, past_heavy + 1e-3 * past AS sb, p_brand AS block FROM seg),
 bl AS (SELECT block, row_number() OVER (ORDER BY block) AS no, count(*) OVER () AS n FROM (SELECT DISTINCT block FROM s)),
-dr AS (SELECT rep, ('0x' || substr(md5('3-' || rep || '-' || no), 1, 8))::BIGINT % n + 1 AS no FROM bl, (SELECT unnest(range(0, 20)) AS rep) r),
+dr AS (SELECT rep, ('0x' || substr(md5('3-' || rep || '-' || no), 1, 8))::BIGINT % n + 1 AS no FROM bl, (SELECT unnest(range(0, 300)) AS rep) r),
 w AS (SELECT rep, block, count(*) AS weight FROM dr JOIN bl USING (no) GROUP BY 1, 2),
 d AS (SELECT rep, id, length_m * weight AS l, future * weight AS y, sa, sb FROM s JOIN w USING (block)),
 u AS (SELECT rep, id, l, y, 'a' AS which, sa + 1e-9 * l AS o FROM d UNION ALL SELECT rep, id, l, y, 'b', sb + 1e-9 * l FROM d),
@@ -206,15 +220,16 @@ SELECT measure, round(avg(gain), 5) AS mean_gain, round(quantile_cont(gain, 25e-
 )
 def bootstrap_gain(t):
     s = segments(t).withColumns({"sa": F.col("past") + 0.01 * F.col("past_all"), "sb": F.col("past_heavy") + 0.001 * F.col("past")})
-    return rounded(sel.bootstrap_gain(s, "p_brand", "sa", "sb", "length_m", "future", "id", reps=20), 5)
+    return rounded(sel.bootstrap_gain(s, "p_brand", "sa", "sb", "length_m", "future", "id"), 5)
 
 
 @query("perm_importance")
 def perm_importance(t):
+    """Importance of three features in a small forest (4 trees of depth 2 are this query's model parameters)."""
     rows = model_rows(t).select("id", "past", "p_size", "p_retailprice", "length_m")
     cols = ["p_size", "p_retailprice", "length_m"]
     forest, _ = boosting.fit_poisson_boost(rows, "id", "past", cols, trees=4, depth=2, bins=16)
-    return sel.permutation_importance(rows, "id", "past", cols, forest.predict, repeats=1)
+    return sel.permutation_importance(rows, "id", "past", cols, forest.predict)
 
 
 @query(

@@ -119,8 +119,13 @@ c AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN concat_ws(' ', ws[2], w
 
 @query(
     "text_in_source",
-    rf"""WITH {CELLS}, p AS (SELECT *, '(?s)' || array_to_string(list_transform(list_filter(regexp_split_to_array(cell, '\s+'), lambda x: x <> ''), lambda x: regexp_replace(x, '([\\.\[\]{{}}()*+?^$|])', '\\\1', 'g')), '.{{0,39}}?') AS pat FROM c)
-SELECT doc_id, contains(regexp_replace(text, '\s+', '', 'g'), regexp_replace(cell, '\s+', '', 'g')) AS contiguous, regexp_matches(text, pat) AS in_order FROM p""",
+    rf"""WITH {CELLS}, p AS (SELECT doc_id, text, cell, list_filter(regexp_split_to_array(cell, '\s+'), lambda x: x <> '') AS v FROM c),
+k AS (SELECT doc_id, v, generate_subscripts(w, 1) AS i, unnest(w) AS token FROM (SELECT doc_id, v, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM p)),
+h AS (SELECT doc_id, n, i FROM k, (SELECT unnest([1, 2, 3]) AS n) q WHERE n <= len(v) AND contains(token, v[n])),
+s2 AS (SELECT a.doc_id, a.i AS start, min(b.i) AS i FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.n = 1 AND b.n = 2 AND b.i > a.i AND b.i < a.i + 40 GROUP BY 1, 2),
+s3 AS (SELECT a.doc_id FROM s2 a JOIN h b ON a.doc_id = b.doc_id AND b.n = 3 AND b.i > a.i AND b.i < a.i + 40)
+SELECT doc_id, contains(regexp_replace(text, '\s+', '', 'g'), regexp_replace(cell, '\s+', '', 'g')) AS contiguous,
+  CASE len(v) WHEN 0 THEN false WHEN 1 THEN doc_id IN (SELECT doc_id FROM h WHERE n = 1) WHEN 2 THEN doc_id IN (SELECT doc_id FROM s2) ELSE doc_id IN (SELECT doc_id FROM s3) END AS in_order FROM p""",
 )
 def text_in_source(t):
     """Is a value found in its own source text: written together, or its words in order close by?"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kerbline.functions.values import ratio
+from kerbline.operators.aggregates import exact_percentiles
 from kerbline.operators.ordered import scan
 from kerbline.session import shared_folder
 
@@ -42,14 +43,15 @@ def poll_series(df: DataFrame, ts: str, tile: str, piece: str, level: str, close
 
 def point_summary(df: DataFrame, keys: Sequence[str], speed: str, free: str, limit: float = 0.7) -> DataFrame:
     r = ratio(F.col(speed), F.col(free))
-    return df.withColumn("__r", r).groupBy(*keys).agg(
+    middle = exact_percentiles(df, list(keys), free, {"free_flow": 0.5})
+    sums = df.withColumn("__r", r).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("polls"),
         F.avg(speed).alias("mean_speed"),
-        F.percentile(free, F.lit(0.5)).alias("free_flow"),
         F.min("__r").alias("min_ratio"),
         F.avg("__r").alias("mean_ratio"),
         F.count_if(F.col("__r") < limit).alias("readings_below"),
     )
+    return sums.join(middle, list(keys), "left")
 
 
 def hour_profile(tables: Sequence[tuple[DataFrame, str, Column, str]]) -> DataFrame:
@@ -91,20 +93,43 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType | None = No
     reader = spark.readStream.schema(schema or batch.schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    if any(f.rstrip("/").endswith("/" + path.rstrip("/").rsplit("/", 1)[-1]) for f in batch.inputFiles()):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
         folder, name = path.rstrip("/").rsplit("/", 1)
         return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
 
-def without_repeats(stream: DataFrame, ts: str, keys: Sequence[str], delay: str = "1 hour") -> DataFrame:
-    """One reading per key; the state forgets keys older than the delay."""
+def without_repeats(stream: DataFrame, ts: str, keys: Sequence[str], delay: str | None = None) -> DataFrame:
+    """One reading per key, however late.  Only with a ``delay`` does the state forget keys, and then later readings are dropped."""
+    if delay is None:
+        return stream.dropDuplicates(list(keys))
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def poll_windows(stream: DataFrame, ts: str, tile: str, piece: str, level: str, closed: Column, width: str = "15 minutes", delay: str = "1 hour") -> DataFrame:
-    windows = stream.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"))
-    return windows.agg(*poll_aggregates(tile, piece, level, closed, exact=False)).withColumn("poll", F.col("w.start")).drop("w")
+def run_poll_windows(stream: DataFrame, ts: str, tile: str, piece: str, level: str, closed: Column, minutes: int = 15) -> DataFrame:
+    """The poll series of a stream, exact and with late readings.
+
+    A batch writes sums per poll, tile and piece into a folder of its own, which a repeated batch writes again; polls
+    are put together from these, so no watermark drops a reading and distinct counts stay exact.
+    """
+    spark = stream.sparkSession
+    folder = work_folder(spark, "polls")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        level_of = F.col(level)
+        batch.groupBy(minute_floor(F.col(ts), minutes).alias("poll"), tile, piece).agg(
+            F.count(F.lit(1)).alias("readings"), F.count(level).alias("known"), F.sum(level).alias("level_sum"),
+            F.count_if(level_of < 0.5).alias("slow"), F.count_if(closed).alias("closures"),
+        ).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+
+    query = stream.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(keep)
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").groupBy("poll").agg(
+        F.countDistinct(tile).alias("tiles"), F.countDistinct(piece).alias("road_pieces"),
+        (F.sum("level_sum") / F.sum("known")).alias("mean_level"), (F.sum("slow") / F.sum("known")).alias("slow_share"),
+        F.sum("closures").alias("closures"), F.sum("readings").alias("readings"),
+    )
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
