@@ -20,7 +20,8 @@ END_ID = 2
 DIMENSIONS = 4
 BITS = 8
 #: A worker forgets the words it has encoded when it holds this many; results don't depend on it.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+OUT_BYTES = 8 << 20
 
 
 class WordEncoder:
@@ -171,7 +172,7 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, id_col: str
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, out = [], []
+            owner, out, held = [], [], 0
             counts, ends = batch.column("n").to_pylist(), batch.column("upto").to_pylist()
             for i, (n, upto) in enumerate(zip(counts, ends)):
                 blob = batch.column("ids")[i].as_py()
@@ -185,10 +186,14 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, id_col: str
                     owner.append(i)
                     out.append((at, length, zlib.crc32(wide), n, number, offset, wide))
                     at += length
-            longs = [pa.array([x[k] for x in out], pa.int64()) for k in range(6)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(owner, pa.int64())), *longs, pa.array([x[6] for x in out], pa.binary())],
-                names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
-            )
+                    held += len(wide)
+                if out and (held > OUT_BYTES or i == len(counts) - 1):
+                    longs = [pa.array([x[k] for x in out], pa.int64()) for k in range(6)]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("id").take(pa.array(owner, pa.int64())), *longs, pa.array([x[6] for x in out], pa.binary())],
+                        names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
+                    )
+                    owner, out, held = [], [], 0
+            pa.default_memory_pool().release_unused()
 
     return placed.mapInArrow(cut, schema)

@@ -79,9 +79,11 @@ def run_hashes(word: np.ndarray, k: int, step: int = int(_STEP)) -> np.ndarray:
 def pieces(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of successive rows of a batch, each of about PIECE_BYTES; null is empty."""
     column = batch.column(text) if isinstance(batch, pa.RecordBatch) else batch[text]
-    column = column.cast(pa.large_string()).fill_null("")
+    if column.null_count:
+        column = column.fill_null("")
     _, places, data = column.buffers()
-    offsets = np.frombuffer(places, np.int64, len(column) + 1 + column.offset)[column.offset :]
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(places, width, len(column) + 1 + column.offset)[column.offset :].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at, n = 0, len(column)
     while at < n:
@@ -89,3 +91,4 @@ def pieces(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, np.ndar
         to = min(to, n)
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    pa.default_memory_pool().release_unused()  # workers live on from task to task
