@@ -52,8 +52,11 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     exactly one row of a group has ``kept``; an empty table gives no rows; other columns are ignored.
     """
     slices = slices or parallelism(docs.sparkSession)
-    sample = docs.select(id_col, text_col).orderBy(F.xxhash64(id_col)).limit(slices * SAMPLE_PER_SLICE)
-    rows = _with_slice(_keys(docs, id_col, text_col), _keys(sample, id_col, text_col), max(slices, 2))
+    # rows of the sample by hash, in the mean; only their keys travel, and the limit bounds odd tables of equal hashes
+    share = min(1.0, slices * SAMPLE_PER_SLICE / max(docs.count(), 1))
+    picked = F.shiftrightunsigned(F.xxhash64(id_col, F.length(text_col)), 12) < F.lit(int(share * (1 << 52)))
+    sample = _keys(docs.filter(picked), id_col, text_col).select("key").limit(4 * slices * SAMPLE_PER_SLICE)
+    rows = _with_slice(_keys(docs, id_col, text_col), sample, max(slices, 2))
 
     order = Window.partitionBy("slice").orderBy("key.head", "key.digest", "norm", "key.less", "key.id")
     before, after = F.lag("norm").over(order), F.lead("norm").over(order)
