@@ -22,12 +22,11 @@ def minute_floor(ts: Column, minutes: int) -> Column:
     return F.timestamp_seconds(F.floor(F.unix_micros(ts.cast("timestamp")) / (step * 1_000_000)) * step).cast("timestamp_ntz")
 
 
-def poll_aggregates(tile: str, piece: str, level: str, closed: Column, exact: bool = True) -> list[Column]:
-    """Tiles, pieces, mean level, slow share and closures of one poll; distinct counts are approximate on streams."""
-    distinct = F.countDistinct if exact else F.approx_count_distinct
+def poll_aggregates(tile: str, piece: str, level: str, closed: Column) -> list[Column]:
+    """Tiles, pieces, mean level, slow share and closures of one poll."""
     return [
-        distinct(tile).alias("tiles"),
-        distinct(piece).alias("road_pieces"),
+        F.countDistinct(tile).alias("tiles"),
+        F.countDistinct(piece).alias("road_pieces"),
         F.avg(level).alias("mean_level"),
         F.avg((F.col(level) < 0.5).cast("double")).alias("slow_share"),
         F.count_if(closed).alias("closures"),
@@ -147,23 +146,6 @@ def run_append(stream: DataFrame, name: str, partition_by: Sequence[str] = ()) -
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def run_updates(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
-    """Run an aggregation in update mode; returns the newest row of every key."""
-    spark = stream.sparkSession
-    folder = work_folder(spark, name)
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        # a repeated batch writes the same folder again, so a restart adds nothing twice
-        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
-
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(keep)
-    query.trigger(availableNow=True).start().awaitTermination()
-    rest = [c for c in stream.columns if c not in keys]
-    rows = spark.read.parquet(f"{folder}/rows")
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__v"))
-    return newest.select(*keys, *[F.col(f"__v.{c}").alias(c) for c in rest])
-
-
 def grow_dimension(path: str, key: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch writer that stores each key the first time it is seen."""
 
