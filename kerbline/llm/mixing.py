@@ -14,6 +14,8 @@ from kerbline.operators import ordered
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 SEED = "mix"
+#: A source's rows meet its target in this many places, so that a source with a third of all rows isn't one task's.
+SALTS = 64
 
 
 def random_odds(id_col: str, seed: str = SEED) -> Column:
@@ -43,6 +45,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: f
     return weighed.select("source", "source_size", F.least(common * F.col("weight"), most * F.col("source_size").cast("double")).alias("target"))
 
 
+def _salted_left_join(rows: DataFrame, few: DataFrame, source: str, key: str) -> DataFrame:
+    """Rows with what ``few`` says of their source; ``few`` has one row per source."""
+    spread = few.withColumn("__place", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(spread, F.col(source).eqNullSafe(F.col(key)) & (F.col("__salt") == F.col("__place")), "left").drop("__place")
+
+
 def pareto_mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[float] = WEIGHTS, most: int = MOST_COPIES, seed: str = SEED, measure: Column | None = None,
@@ -63,6 +71,7 @@ def pareto_mix(
     (ties by size); an empty table gives no rows; extra columns pass through.
     """
     made = docs.withColumn("__size", word_count(text_col)).withColumn("__measure", F.lit(1.0) if measure is None else measure.cast("double"))
+    made = made.withColumn("__salt", F.pmod(F.xxhash64(id_col, "__size"), F.lit(SALTS)).cast("int"))
     small = made.select(F.col(source_col).alias("source"), "__size", "__measure")
     sums = small.groupBy("source").agg(
         F.sum("__size").alias("source_size"), (F.sum(F.col("__size") * F.col("__measure"))).alias("measured"),
@@ -76,7 +85,7 @@ def pareto_mix(
         F.least(F.lit(float(most)), F.col("__target") / F.col("__source_size") * (F.col("__measure") * (F.col("__source_size") / F.col("__measured")))),
     ).otherwise(0.0)
     rows = (
-        made.join(targets, F.col(source_col).eqNullSafe(F.col("__source")), "left")
+        _salted_left_join(made, targets, source_col, "__source")
         .withColumn("__wanted", wanted)
         .withColumn("__whole", F.floor("__wanted"))
         .withColumn("__p", F.col("__wanted") - F.col("__whole"))
@@ -85,7 +94,7 @@ def pareto_mix(
     # what the certain copies leave of each source's target
     certain = rows.groupBy(F.col(source_col).alias("__c")).agg(F.sum(F.col("__whole") * F.col("__size")).alias("__certain"))
     certain = cut_lineage(certain)
-    rows = rows.join(certain, F.col(source_col).eqNullSafe(F.col("__c")), "left").drop("__c")
+    rows = _salted_left_join(rows, certain, source_col, "__c").drop("__c")
     null_source = F.col(source_col).isNull().cast("int")
     placed = ordered.scan(
         rows.withColumn("__null", null_source).withColumn("__name", F.coalesce(F.col(source_col), F.lit(""))),
