@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm import words
@@ -22,6 +22,8 @@ BINS = BANDS * ROWS
 SIMILAR, OF = 75, 100
 #: Rows at most of the table that holds back texts that meet no other.
 SLOTS = 1 << 19
+#: A crowded bucket's pairs are decided in blocks of about so many members and, with long texts, so many shingles.
+BLOCK, BLOCK_SHINGLES = 128, 1 << 19
 
 _rng = np.random.default_rng(11)
 #: For each empty bin, the order in which it asks the others: the same for all documents.
@@ -134,16 +136,86 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similar: int = SIMILAR, of: in
     return full.select("a", "b", "a_text", "b_text").mapInArrow(hold, f"a {kind}, b {kind}")
 
 
+def settled(buckets: DataFrame, label: DataFrame, texts: DataFrame, similar: int = SIMILAR, of: int = OF) -> DataFrame:
+    """Links (a, b) between members of a bucket that are no hub of it and lie in different components: all such pairs are decided.
+
+    A bucket's largest component is never compared with itself.  Pairs of a crowded bucket are made and decided in
+    blocks.  A pair that meets in many buckets is decided in one; a text travels once to each block that has a pair
+    for it, and a block returns only links that join what its other links do not.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+    n = texts.groupBy(F.col("id").alias("rep")).agg(F.max("n").alias("n"))
+    inner = buckets.filter("rep != least and rep != most").select("key", "rep").join(label, "rep", "left").join(n, "rep")
+    inner = inner.select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    crowd = inner.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).groupBy("key").agg(
+        F.max_by("component", F.struct("rows", "component")).alias("main"), F.count(F.lit(1)).alias("parts"),
+        F.ceil(F.greatest(F.sum("rows") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"),
+    ).filter("parts > 1").drop("parts")
+    crowded = cut_lineage(inner.join(crowd, "key"))
+
+    def block(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.col("blocks"))
+
+    others = crowded.filter("component != main").select(
+        "key", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    )
+    every = crowded.select("key", block("rep").alias("block"), "blocks", "main", F.col("rep").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("y_part"))
+    alike = of * F.least("x_n", "y_n") >= similar * F.greatest("x_n", "y_n")
+    apart = (F.col("x_part") != F.col("y_part")) & ((F.col("y_part") == F.col("main")) | (F.col("x") < F.col("y")))
+    pairs = (
+        others.join(every, ["key", "block"]).filter(apart & alike)
+        .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min(F.struct("key", "blocks")).alias("at"))
+        .select("a", "b", "at.*").select("key", block("a").alias("a_block"), block("b").alias("b_block"), "a", "b")
+    )
+    pairs = cut_lineage(pairs)
+    where = ["key", "a_block", "b_block"]
+    met = pairs.select(*where, F.explode(F.array("a", "b")).alias("id")).distinct()
+    own = texts.join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+    def hold(pairs: pa.Table, members: pa.Table) -> pa.Table:
+        ids, sets = members.column("id").to_pylist(), [_one_set(t.as_py()) for t in members.column("text")]
+        row, root = {x: i for i, x in enumerate(ids)}, list(range(len(ids)))
+        ends = np.cumsum([0, *map(len, sets)])
+        found, place = np.unique(np.concatenate(sets), return_inverse=True)
+        sets = [place[i:j] for i, j in zip(ends[:-1], ends[1:])]
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        has, last, keep = np.zeros(len(found), bool), None, []
+        for i, j in sorted((row[a], row[b]) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())):
+            if i != last:
+                has[:] = False
+                has[sets[i]], last = True, i
+            if top(i) != top(j):
+                both = int(has[sets[j]].sum())
+                if of * both >= similar * (len(sets[i]) + len(sets[j]) - both):
+                    root[top(j)] = top(i)
+                    keep.append((ids[i], ids[j]))
+        return pa.Table.from_arrays(
+            [pa.array([k[c] for k in keep], members.schema.field("id").type) for c in (0, 1)], names=["a", "b"]
+        )
+
+    members = met.withColumnsRenamed({c: f"of_{c}" for c in where}).join(own, "id")
+    decided = pairs.groupBy(*where).cogroup(members.groupBy(*(f"of_{c}" for c in where)))
+    return cut_lineage(decided.applyInArrow(hold, f"a {kind}, b {kind}"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR, of: int = OF
 ) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest linked id) and kept (it is its own component).
 
     Documents with equal shingle sets are one class, so copies of any number meet nowhere again.  Classes meet
-    in banded buckets.  A bucket gives links to its smallest and to its largest member only, so candidates grow
-    with documents, not with pairs; they are confirmed on full sets.  Members that neither hub explains form a
-    bucket of their own and meet again, round after round, until a round finds no link.  Buckets and hubs are
-    aggregated before the shuffle and joined without hints, so that crowded ones are split at run time.
+    in banded buckets.  A bucket first gives links to its smallest and to its largest member only, so most candidates
+    grow with documents, not with pairs; they are confirmed on full sets.  Members that neither hub explains form a
+    bucket of their own and meet again, round after round, until a round finds no link.  Then every pair of a bucket
+    that still lies in two components is decided on full sets (see ``settled``), so all that meet in a bucket are
+    linked if they are similar.  Buckets and hubs are aggregated before the shuffle and joined without hints, so
+    that crowded ones are split at run time.
 
     Defined cases: an empty or null text has no shingles and links with nothing; a row without an id
     takes no part (component null, kept); repeated rows with one id share their result; an empty table gives no
@@ -156,7 +228,7 @@ def near_duplicates(
     banded = linked.groupBy("high", "low").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     meeting = banded.select("rep", F.explode("bands").alias("key"))
     hubs = meeting.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least != most")
-    stars = cut_lineage(meeting.join(hubs, "key"))
+    buckets = stars = cut_lineage(meeting.join(hubs, "key"))
     texts = candidate_texts(own.filter("id is not null"), classes.select(F.col("rep").alias("id"), "n"), stars)
     # a class first tries the one hub it shares most bands with: that settles most of a large group with a pair a member
     pairs = cut_lineage(_star_pairs(stars))
@@ -180,6 +252,9 @@ def near_duplicates(
         pairs = cut_lineage(_star_pairs(stars))
         if pairs.isEmpty():
             break
+    found = settled(buckets, parts.select(F.col("node").alias("rep"), "component"), texts, similar, of)
+    if not found.isEmpty():
+        parts = connected_components(links.unionByName(found))
     component = classes.select("high", "low", "rep").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = sketched.select("id", "n", F.when(F.col("id").isNotNull(), F.col("high")).alias("high"), "low")
     joined = named.join(component.select("high", "low", F.coalesce("component", "rep").alias("component")), ["high", "low"], "left")

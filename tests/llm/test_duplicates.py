@@ -93,6 +93,25 @@ def test_near_duplicates(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def edited(rng, words, changes):
+    """A copy with single words changed, no two within one shingle."""
+    w = list(words)
+    for k in rng.sample(range(len(w) // 5), changes):
+        w[5 * k + 2] = f"e{rng.randrange(10**9)}"
+    return " ".join(w)
+
+
+def test_near_duplicates_family_around_the_threshold(spark):
+    """Edited copies whose similarities lie on both sides of 0.75: links between texts that no hub resembles count."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    rows = list(enumerate(edited(rng, words, rng.randint(3, 12)) for _ in range(300)))
+    rng.shuffle(rows)
+    want = near_brute(rows)
+    got = minhash.near_duplicates(docs(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_near_duplicates_odd_tables(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
     out = minhash.near_duplicates(docs(spark, [(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (9, None), (8, "")])).collect()
