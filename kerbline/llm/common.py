@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kerbline.session import cut_lineage, parallelism, shared_folder
 
-__all__ = ["SPACE", "WORD", "cut_lineage", "documents", "parallelism", "table", "text_or_empty", "word_count", "written"]
+__all__ = ["SPACE", "WORD", "cut_lineage", "cut_plan", "documents", "parallelism", "table", "text_or_empty", "word_count", "written"]
 
 #: The white space that separates words, and a word.
 SPACE = r"[\x20\x09-\x0D]"
@@ -33,6 +33,16 @@ def word_count(c: str = "text") -> Column:
     return F.regexp_count(text_or_empty(c), F.lit(WORD)).cast("long")
 
 
+def cut_plan(df: DataFrame) -> DataFrame:
+    """A checkpoint that forgets the planner's size estimate as well.
+
+    A plain checkpoint keeps it, and joins multiply it: after some rounds of joins the planner works on numbers of
+    millions of digits.
+    """
+    spark, done = df.sparkSession, cut_lineage(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table of their own in the shared folder, which the caller clears."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"

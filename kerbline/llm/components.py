@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import cut_lineage
+from kerbline.llm.common import cut_plan
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -16,8 +16,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     links can be split at run time, and minima are aggregated before the shuffle.  Rounds are checkpointed.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b")
-    both = cut_lineage(both.distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    both = cut_plan(both.distinct())
+    labels = cut_plan(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         near = (
             both.join(labels.withColumnsRenamed({"node": "b", "component": "seen"}), "b")
@@ -27,7 +27,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         after = moved.join(labels.select(F.col("node").alias("next"), F.col("component").alias("jump")), "next").select(
             "node", F.least("next", "jump").alias("component"), "was"
         )
-        after = cut_lineage(after)
+        after = cut_plan(after)
         labels = after.select("node", "component")
         if after.filter("component != was").isEmpty():
             return labels

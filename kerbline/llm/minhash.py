@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm import words
-from kerbline.llm.common import cut_lineage
+from kerbline.llm.common import cut_plan
 from kerbline.llm.components import connected_components
 from kerbline.llm.words import mix64
 
@@ -22,6 +22,8 @@ BINS = BANDS * ROWS
 SIMILAR, OF = 75, 100
 #: Rows at most of the table that holds back texts that meet no other.
 SLOTS = 1 << 19
+#: Rounds of links with hubs only, before all pairs that are left are decided.
+STAR_ROUNDS = 2
 #: A crowded bucket's pairs are decided in blocks of about so many members and, with long texts, so many shingles.
 BLOCK, BLOCK_SHINGLES = 128, 1 << 19
 
@@ -102,7 +104,7 @@ def candidate_texts(docs: DataFrame, sizes: DataFrame, stars: DataFrame) -> Data
     slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
     slots = met.select(slot.alias("slot")).distinct()
     near = docs.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").select("id", "text")
-    return cut_lineage(near.join(met.join(sizes, "id"), "id").select("id", "n", "text"))
+    return cut_plan(near.join(met.join(sizes, "id"), "id").select("id", "n", "text"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, similar: int = SIMILAR, of: int = OF) -> DataFrame:
@@ -151,7 +153,7 @@ def settled(buckets: DataFrame, label: DataFrame, texts: DataFrame, similar: int
         F.max_by("component", F.struct("rows", "component")).alias("main"), F.count(F.lit(1)).alias("parts"),
         F.ceil(F.greatest(F.sum("rows") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"),
     ).filter("parts > 1").drop("parts")
-    crowded = cut_lineage(inner.join(crowd, "key"))
+    crowded = cut_plan(inner.join(crowd, "key"))
 
     def block(c: str) -> Column:
         return F.pmod(F.xxhash64(c), F.col("blocks"))
@@ -167,7 +169,7 @@ def settled(buckets: DataFrame, label: DataFrame, texts: DataFrame, similar: int
         .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min(F.struct("key", "blocks")).alias("at"))
         .select("a", "b", "at.*").select("key", block("a").alias("a_block"), block("b").alias("b_block"), "a", "b")
     )
-    pairs = cut_lineage(pairs)
+    pairs = cut_plan(pairs)
     where = ["key", "a_block", "b_block"]
     met = pairs.select(*where, F.explode(F.array("a", "b")).alias("id")).distinct()
     own = texts.join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
@@ -201,7 +203,7 @@ def settled(buckets: DataFrame, label: DataFrame, texts: DataFrame, similar: int
 
     members = met.withColumnsRenamed({c: f"of_{c}" for c in where}).join(own, "id")
     decided = pairs.groupBy(*where).cogroup(members.groupBy(*(f"of_{c}" for c in where)))
-    return cut_lineage(decided.applyInArrow(hold, f"a {kind}, b {kind}"))
+    return cut_plan(decided.applyInArrow(hold, f"a {kind}, b {kind}"))
 
 
 def near_duplicates(
@@ -212,9 +214,9 @@ def near_duplicates(
     Documents with equal shingle sets are one class, so copies of any number meet nowhere again.  Classes meet
     in banded buckets.  A bucket first gives links to its smallest and to its largest member only, so most candidates
     grow with documents, not with pairs; they are confirmed on full sets.  Members that neither hub explains form a
-    bucket of their own and meet again, round after round, until a round finds no link.  Then every pair of a bucket
-    that still lies in two components is decided on full sets (see ``settled``), so all that meet in a bucket are
-    linked if they are similar.  Buckets and hubs are aggregated before the shuffle and joined without hints, so
+    bucket of their own and meet again in the second of STAR_ROUNDS.  These rounds only leave fewer pairs: then every
+    pair of a bucket that still lies in two components is decided on full sets (see ``settled``), whatever a round
+    has found, so all that meet in a bucket are linked if they are similar.  Buckets and hubs are aggregated before the shuffle and joined without hints, so
     that crowded ones are split at run time.
 
     Defined cases: an empty or null text has no shingles and links with nothing; a row without an id
@@ -222,34 +224,31 @@ def near_duplicates(
     rows; other columns are ignored.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sketched = cut_lineage(sketches(own))
+    sketched = cut_plan(sketches(own))
     linked = sketched.filter("high is not null and id is not null")
     classes = linked.groupBy("high", "low").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     banded = linked.groupBy("high", "low").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     meeting = banded.select("rep", F.explode("bands").alias("key"))
     hubs = meeting.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least != most")
-    buckets = stars = cut_lineage(meeting.join(hubs, "key"))
+    buckets = stars = cut_plan(meeting.join(hubs, "key"))
     texts = candidate_texts(own.filter("id is not null"), classes.select(F.col("rep").alias("id"), "n"), stars)
     # a class first tries the one hub it shares most bands with: that settles most of a large group with a pair a member
-    pairs = cut_lineage(_star_pairs(stars))
+    pairs = cut_plan(_star_pairs(stars))
     best = pairs.groupBy("rep").agg(F.min_by("hub", F.struct(-F.col("bands"), F.col("hub"))).alias("hub"))
-    links = cut_lineage(confirmed(best, texts, similar, of))
+    links = cut_plan(confirmed(best, texts, similar, of))
     parts = connected_components(links)
-    again = False
-    while True:
+    for _ in range(STAR_ROUNDS):
         label = parts.select(F.col("node").alias("rep"), "component")
         hub_label = label.withColumnsRenamed({"rep": "hub", "component": "hub_component"})
         apart = F.coalesce("component", "rep") != F.coalesce("hub_component", "hub")
         open_pairs = pairs.join(label, "rep", "left").join(hub_label, "hub", "left").filter(apart).select("hub", "rep")
-        found = cut_lineage(confirmed(open_pairs, texts, similar, of))
+        found = cut_plan(confirmed(open_pairs, texts, similar, of))
         if not found.isEmpty():
             links = links.unionByName(found)
             parts = connected_components(links)
             label = parts.select(F.col("node").alias("rep"), "component")
-        elif again:
-            break
-        stars, again = _left_over(stars, label), True
-        pairs = cut_lineage(_star_pairs(stars))
+        stars = _left_over(stars, label)
+        pairs = cut_plan(_star_pairs(stars))
         if pairs.isEmpty():
             break
     found = settled(buckets, parts.select(F.col("node").alias("rep"), "component"), texts, similar, of)
@@ -278,7 +277,7 @@ def _left_over(stars: DataFrame, label: DataFrame) -> DataFrame:
     hubs = rest.groupBy("key").agg(
         F.min("rep").alias("least"), F.max("rep").alias("most"), F.min("component").alias("low"), F.max("component").alias("high")
     ).filter("low != high")
-    return cut_lineage(rest.drop("component").join(hubs.drop("low", "high"), "key"))
+    return cut_plan(rest.drop("component").join(hubs.drop("low", "high"), "key"))
 
 
 SQL = r"""

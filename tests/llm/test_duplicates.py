@@ -112,6 +112,17 @@ def test_near_duplicates_family_around_the_threshold(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_near_duplicates_one_pair_in_crowded_buckets(spark):
+    """Two similar texts amid many that resemble nothing enough: rounds without a link come before the pair's turn."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, edited(rng, words, 3 if i in (100, 101) else 24)) for i in range(200)]
+    want = near_brute(rows)
+    assert sum(component != i for i, (_, component) in want.items()) == 1
+    got = minhash.near_duplicates(docs(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_near_duplicates_odd_tables(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
     out = minhash.near_duplicates(docs(spark, [(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (9, None), (8, "")])).collect()
