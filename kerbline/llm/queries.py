@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import exact, language, minhash, mixing, neighbours, packing, substrings, tokens, toxicity, urls
+from kerbline.llm import dominance_packing, exact, filter_audit, hat_trie, language, minhash, mixing, neighbours, packing, substrings, tokens, toxicity, urls
 from kerbline.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,23 @@ def op9_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
 def op10_content_sort(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of texts that are equal but for white space."""
     return exact.content_sort(documents(spark, folder))
+
+
+@query("op11_filter_audit", filter_audit.SQL)
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Five filters in all 120 orders: what each step keeps, removes and loses, per language."""
+    return filter_audit.audit(documents(spark, folder), table(spark, folder, "labels"))
+
+
+@query("op12_hat_trie", hat_trie.SQL)
+def op12_hat_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Each language's best 2000 phrases of two to four words."""
+    return hat_trie.collocations(documents(spark, folder))
+
+
+@query("op13_dominance_packing")
+def op13_dominance_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents packed into as few sequences of 2048 ids as can be, each in one piece where it fits."""
+    import public_tokenizers
+
+    return dominance_packing.pack(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")

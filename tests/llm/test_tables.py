@@ -29,7 +29,7 @@ def same_as_sql(df, sql, **tables):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
-    views = {t: con.sql(f"select * from '{SF}/{t}.parquet'").df() for t in ("documents", "pages")}
+    views = {t: con.sql(f"select * from '{SF}/{t}.parquet'").df() for t in ("documents", "pages", "labels")}
     same_as_sql(queries.QUERIES[name](spark, SF), queries.SQL[name], **views)
 
 
