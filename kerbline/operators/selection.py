@@ -195,48 +195,6 @@ def bootstrap_gain(df: DataFrame, block: str, score_a: str, score_b: str, length
     )
 
 
-def ablation(groups: Mapping[str, Sequence[str]], score: Callable[[list[str]], float]) -> list[dict]:
-    """All features, all but one group, only one group: one scored experiment each."""
-    everything = [f for g in groups.values() for f in g]
-    log = [{"step": "all", "experiment": "all features", "n_features": len(everything), "score": score(everything)}]
-    for name, members in groups.items():
-        rest = [f for f in everything if f not in members]
-        if rest:
-            log.append({"step": "drop one group", "experiment": f"without {name}", "n_features": len(rest), "score": score(rest)})
-        log.append({"step": "only one group", "experiment": f"only {name}", "n_features": len(members), "score": score(list(members))})
-    return log
-
-
-def backward_elimination(features: Sequence[str], score: Callable[[list[str]], float], margin: float = 0.0) -> tuple[list[str], list[dict]]:
-    """Drop the feature whose absence scores best, as long as the score falls by no more than the margin."""
-    kept, log = list(features), []
-    current = score(kept)
-    while len(kept) > 1:
-        tries = [(score([f for f in kept if f != c]), c) for c in kept]
-        best, gone = max(tries)
-        if best < current - margin:
-            break
-        kept.remove(gone)
-        current = best
-        log.append({"step": "backward", "experiment": f"without {gone}", "n_features": len(kept), "score": best})
-    return kept, log
-
-
-def random_search(space: Mapping[str, Sequence], score: Callable[[dict], float], tries: int = 8, margin: float = 0.0, seed: int = 0) -> tuple[dict, list[dict]]:
-    """The first setting is the default (first value of every choice); another one must beat it by the margin."""
-    rng = np.random.default_rng(seed)
-    default = {k: v[0] for k, v in space.items()}
-    best, best_score = default, score(default)
-    log = [{"step": "search", "experiment": str(default), "n_features": 0, "score": best_score}]
-    for _ in range(tries - 1):
-        pick = {k: v[int(rng.integers(len(v)))] for k, v in space.items()}
-        s = score(pick)
-        log.append({"step": "search", "experiment": str(pick), "n_features": 0, "score": s})
-        if s > best_score + margin:
-            best, best_score = pick, s
-    return best, log
-
-
 def experiment_log(spark, rows: Sequence[dict]) -> DataFrame:
     return spark.createDataFrame(
         [(r["step"], r["experiment"], r["n_features"], float(r["score"])) for r in rows],

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("risk", "timelines", "tallies", "quality", "space", "models", "feeds")
+MODULES = ("risk", "timelines", "tallies", "quality", "space", "models", "feeds", "live")
 
 
 def load() -> None:

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,38 +145,120 @@ def run_append(stream: DataFrame, name: str, partition_by: Sequence[str] = ()) -
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def grow_dimension(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer that stores each key the first time it is seen."""
+def _empty_table(spark: SparkSession, path: str) -> None:
+    """A folder that can be read before the first batch has written to it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+
+
+def grow_dimension(path: str, key: str, schema: T.StructType, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer that stores each key the first time it is seen, in hash buckets.
+
+    A batch reads only the buckets that its keys fall into, and of these only what earlier batches wrote; it
+    overwrites its own part of each bucket, so a repeated batch adds nothing.
+    """
+    stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])
 
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        try:
-            known = spark.read.parquet(path).select(key)
-            fresh = fresh.join(known, key, "left_anti")
-        except Exception as e:  # the first batch finds no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(path)
+        _empty_table(spark, path)
+        fresh = batch.dropDuplicates([key]).select(*schema.names).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        fresh = fresh.persist()
+        met = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        known = spark.read.schema(stored).parquet(path).filter(F.col("bucket").isin(met) & (F.col("batch") < batch_id))
+        new = fresh.join(known.select("bucket", F.col(key).alias("__known")), (known["bucket"] == fresh["bucket"]) & (F.col("__known").eqNullSafe(F.col(key))), "left_anti")
+        new = new.withColumn("batch", F.lit(batch_id).cast("long"))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+        fresh.unpersist()
 
     return add
 
 
-def outages(stream: DataFrame, source: str, ts: str, longer_than_s: int) -> DataFrame:
-    """Gaps between the polls of a source across batches; the state is the last poll time."""
-    out = f"{source} string, gap_starts_after timestamp, resumed_at timestamp, gap_minutes bigint"
-
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        times = sorted(t for c in chunks for t in c["t"])
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        found = []
-        for t in times:
-            if last is not None and (t - last).total_seconds() > longer_than_s:
-                found.append((key[0], last, t, round((t - last).total_seconds() / 60)))
-            last = t if last is None or t > last else last
-        if last is not None:
-            state.update((last.value // 1000,))
-        yield pd.DataFrame(found, columns=[source, "gap_starts_after", "resumed_at", "gap_minutes"])
-
-    keyed = stream.select(F.col(source).cast("string").alias(source), F.col(ts).cast("timestamp").alias("t"))
-    return keyed.groupBy(source).applyInPandasWithState(step, out, "last bigint", "append", "NoTimeout")
+def run_seen_once(stream: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+    """The keys of a stream with the row that brought each first, as a table."""
+    spark = stream.sparkSession
+    folder = work_folder(spark, "dimension")
+    add = grow_dimension(f"{folder}/rows", key, stream.schema, buckets)
+    query = stream.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(add)
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows").select(*stream.columns)
+
+
+def write_accounted(folder: str, counts: Mapping[str, Column]) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer of rows and of a manifest row per batch, from metrics observed while the rows are written.
+
+    Rows and manifest are keyed by batch: a repeated batch writes both again in place.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = Observation()
+        observed = batch.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(name) for name, c in counts.items()])
+        observed.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        got = seen.get
+        line = spark.range(1).select(*[F.lit(got[name] or 0).cast("long").alias(name) for name in ("rows", *counts)])
+        line.write.mode("overwrite").parquet(f"{folder}/manifest/batch={batch_id}")
+
+    return keep
+
+
+def run_accounted(stream: DataFrame, counts: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """A stream's rows as a table, and its manifest: batch, rows and the observed counts."""
+    spark = stream.sparkSession
+    folder = work_folder(spark, "accounted")
+    query = stream.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(write_accounted(folder, counts))
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows"), spark.read.parquet(f"{folder}/manifest")
+
+
+def islands(df: DataFrame, source: str, starts: str, ends: str, longer_than_s: int) -> DataFrame:
+    """(source, starts, ends): stretches without a silence of more than ``longer_than_s``, of readings or of smaller stretches.
+
+    A sweep: a stretch is open from its start until so long after its end, and an island begins where nothing is open.
+    Running sums over range slices, so a source with any share of the rows is spread.
+    """
+    micros = F.unix_micros(F.col(starts).cast("timestamp")), F.unix_micros(F.col(ends).cast("timestamp")) + longer_than_s * 1_000_000
+    edges = df.filter(F.col(starts).isNotNull()).select(
+        source, F.inline(F.array(F.struct(micros[0].alias("t"), F.lit(1).alias("d")), F.struct(micros[1].alias("t"), F.lit(-1).alias("d"))))
+    )
+    edges = edges.groupBy(source, "t", "d").agg(F.sum("d").alias("n"))
+    at = ["t", -F.col("d")]  # what begins just when another would end goes on with it
+    swept = scan(edges, at, [source], sums={"open": "n"})
+    begins = (F.col("d") == 1) & (F.col("open") == F.col("n"))
+    numbered = scan(swept, at, [source], sums={"island": F.when(begins, 1).otherwise(0).cast("long")})
+    made = numbered.groupBy(source, "island").agg(F.min("t").alias("a"), F.max("t").alias("z"))
+    kind = df.schema[starts].dataType
+    return made.select(source, F.timestamp_micros("a").cast(kind).alias("starts"), F.timestamp_micros(F.col("z") - longer_than_s * 1_000_000).cast(kind).alias("ends"))
+
+
+def silences(stretches: DataFrame, source: str, longer_than_s: int) -> DataFrame:
+    """Gaps between a source's stretches, and an open one where it is still silent: source, gap_starts_after, resumed_at, gap_minutes.
+
+    A source is silent when the newest reading of all is more than ``longer_than_s`` later than its own; an open gap has
+    no ``resumed_at`` and lasts until that reading.
+    """
+    now = stretches.agg(F.max("ends")).scalar()
+    next_start = scan(stretches, ["starts"], [source], following={"resumed_at": "starts"}).withColumn("__now", now)
+    until = F.coalesce("resumed_at", "__now").cast("timestamp")
+    seconds = (F.unix_micros(until) - F.unix_micros(F.col("ends").cast("timestamp"))) / 1_000_000
+    return next_start.filter(seconds > longer_than_s).select(
+        source, F.col("ends").alias("gap_starts_after"), "resumed_at", F.round(seconds / 60).cast("long").alias("gap_minutes")
+    )
+
+
+def run_outages(stream: DataFrame, source: str, ts: str, longer_than_s: int) -> DataFrame:
+    """Outages of a stream's sources, exact however late a reading comes, with those that are still open.
+
+    A batch keeps only its stretches without silence, in a folder of its own that a repeated batch writes again.  A
+    gap is a gap of all stretches together, so a late batch closes or splits the gaps that it falls into.
+    """
+    spark = stream.sparkSession
+    folder = work_folder(spark, "outages")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        islands(batch, source, ts, ts, longer_than_s).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+
+    query = stream.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(keep)
+    query.trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.parquet(f"{folder}/rows").drop("batch")
+    return silences(islands(kept, source, "starts", "ends", longer_than_s), source, longer_than_s)

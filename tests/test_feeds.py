@@ -18,22 +18,42 @@ def polls(spark):
 
 def test_outages_across_batches(spark, tmp_path):
     p = polls(spark)
-    for i in range(5):
+    for i in (3, 0, 4, 1, 2):  # late ones come first
         p.filter(F.col("id") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    s = traffic.file_stream(spark, str(tmp_path / "in"))
-    got = traffic.run_append(traffic.outages(s, "source", "ts", 1500), "outages").select("gap_minutes").collect()
+    s = traffic.file_stream(spark, str(tmp_path / "in"), max_files=1)
+    got = traffic.run_outages(s, "source", "ts", 1500).select("gap_minutes").collect()
     want = tmp.gaps(p, "ts", 1500, ["source"]).select("gap_minutes").collect()
     assert sorted(r[0] for r in got) == sorted(r[0] for r in want) == [75, 75]
 
 
+def test_stretches_inside_others_and_open_outages(spark):
+    h = D(2024, 1, 1)
+    rows = [("a", h, h.replace(hour=4)), ("a", h.replace(hour=1), h.replace(hour=2)), ("a", h.replace(hour=4, minute=25), h.replace(hour=5)), ("a", h.replace(hour=6), h.replace(hour=6)), ("b", h, h)]
+    df = spark.createDataFrame(rows, "source string, s timestamp_ntz, e timestamp_ntz")
+    made = traffic.islands(df, "source", "s", "e", 1500)
+    assert sorted((r.source, r.starts.hour, r.ends.hour) for r in made.collect()) == [("a", 0, 5), ("a", 6, 6), ("b", 0, 0)]
+    gaps = traffic.silences(made, "source", 1500)
+    assert sorted((r.source, r.resumed_at is None, r.gap_minutes) for r in gaps.collect()) == [("a", False, 60), ("b", True, 360)]
+
+
 def test_stream_partitions_and_dimension(spark, tmp_path):
     p = polls(spark)
     p.write.parquet(str(tmp_path / "in"))
     s = traffic.file_stream(spark, str(tmp_path / "in")).withColumn("hour", F.hour("ts"))
     assert traffic.run_append(s, "hours", ["hour"]).count() == 5
-    add = traffic.grow_dimension(str(tmp_path / "dim"), "source")
-    add(p, 0), add(p, 1)
-    assert spark.read.parquet(str(tmp_path / "dim")).count() == 1
+    add = traffic.grow_dimension(str(tmp_path / "dim"), "source", p.schema, 4)
+    other = p.filter("id < 2").withColumn("source", F.lit("b"))
+    add(p, 0), add(p, 1), add(p, 0), add(other.unionByName(p), 2), add(other, 2)
+    assert sorted(r.source for r in spark.read.parquet(str(tmp_path / "dim")).collect()) == ["a", "b"]
+
+
+def test_manifest_of_repeated_batches(spark, tmp_path):
+    keep = traffic.write_accounted(str(tmp_path), {"late": F.count_if(F.hour("ts") > 0)})
+    p = polls(spark)
+    keep(p, 0), keep(p.filter("id > 2"), 1), keep(p, 0), keep(p.limit(0), 2)
+    manifest = {r.batch: (r.rows, r.late) for r in spark.read.parquet(str(tmp_path / "manifest")).collect()}
+    assert manifest == {0: (5, 3), 1: (2, 2), 2: (0, 0)}
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 7
 
 
 def test_readers(spark, tmp_path):

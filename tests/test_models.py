@@ -87,11 +87,6 @@ def test_selection_helpers(spark):
     assert groups["a"] == groups["b"] != groups["c"]
     kept, dropped = sel.keep_most_informative(groups, {"a": 0.1, "b": 0.4, "c": 0.2}, {"c": 0.999})
     assert kept == ["b"] and set(dropped) == {"a", "c"}
-    best, log = sel.random_search({"k": [1, 2, 3]}, lambda p: p["k"], tries=6, margin=0.5)
-    assert best["k"] >= 1 and len(log) == 6
-    left, _ = sel.backward_elimination(["x", "y", "z"], lambda f: len(set(f) & {"x"}) - 0.01 * len(f))
-    assert left == ["x"]
-    assert len(sel.ablation({"g": ["x"], "h": ["y", "z"]}, len)) == 5
     df = spark.createDataFrame([(i, float(i % 5)) for i in range(60)], "id int, v double")
     assert sorted(r["v"] for r in sel.permuted(df, "id", "v", 1).collect()) == sorted(float(i % 5) for i in range(60))
 
