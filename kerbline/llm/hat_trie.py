@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,8 +18,11 @@ from kerbline.llm.words import mix64
 LONGEST, LEAST, BEST = 4, 30, 2000
 SCALE, COVERED, OF = 2_000_000, 80, 100
 UNKNOWN = "und"
-#: A container of more phrases bursts, down to this depth of the trie.
-BURST, SHALLOW = 8192, 2
+#: A container of more phrases bursts into FAN ones, down to this depth of the trie.
+BURST, SHALLOW, DIGIT = 1 << 16, 2, 4
+FAN = 1 << DIGIT
+#: Phrases that wait to be added together.
+TOGETHER = 1 << 18
 #: Phrases that the tries of a task hold before whole subtrees are spilled.
 HELD = 1_000_000
 #: Words that a task knows by number; it spills everything and starts anew beyond it.
@@ -35,86 +38,132 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 _ID = (1 << 32) - 1
 
 
-class Branch(dict):
-    """A trie node: word id to the next node, or to a container (a plain dict of packed rests to counts)."""
+class Container:
+    """An array hash of packed phrases (two whole numbers of two ids each) and their counts; whole arrays are added at once."""
+
+    def __init__(self):
+        self.size = 0
+        self._empty(1 << 10)
+
+    def _empty(self, slots: int) -> None:
+        self.high, self.low, self.n = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.zeros(slots, np.int64)
+
+    def items(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.high)  # no word has the number 0
+        return self.high[at], self.low[at], self.n[at]
+
+    def add(self, high: np.ndarray, low: np.ndarray, n: np.ndarray) -> None:
+        if 2 * (self.size + len(high)) > len(self.high):
+            held = self.items()
+            self._empty(1 << (4 * (self.size + len(high))).bit_length())
+            self._place(*held)
+        self._place(high, low, n)
+        self.size = int(np.count_nonzero(self.high))
+
+    def _place(self, high: np.ndarray, low: np.ndarray, n: np.ndarray) -> None:
+        mask = np.uint64(len(self.high) - 1)
+        at = mix64(high * _ODD[0] + low * _ODD[1]) & mask
+        while len(at):
+            free = self.high[at] == 0
+            # of several phrases that claim a slot, the last one gets it, in both arrays
+            self.high[at[free]], self.low[at[free]] = high[free], low[free]
+            same = (self.high[at] == high) & (self.low[at] == low)
+            np.add.at(self.n, at[same], n[same])
+            at, high, low, n = (x[~same] for x in (at, high, low, n))
+            at = at + np.uint64(1) & mask
 
 
 class HatTrie:
-    """Counts of word id sequences, packed to whole numbers of LONGEST ids of 32 bits; a short one ends with zeros."""
+    """Counts of phrases as word ids: containers under a trie that branches on digits of the first word's id.
 
-    def __init__(self):
-        self.root: dict = {}
-        self.size = 0
+    A container of more than BURST phrases bursts into FAN ones, down to the depth SHALLOW; so a subtree holds all
+    phrases of its first words.
+    """
 
-    def add(self, packed: Iterable[int], counts: Iterable[int]) -> None:
-        for key, n in zip(packed, counts):
-            node, rest, shift, above, edge = self.root, key, 32 * (LONGEST - 1), None, 0
-            while type(node) is Branch:
-                above, edge = node, rest >> shift
-                rest &= (1 << shift) - 1
-                shift -= 32
-                node = node.get(edge)
-                if node is None:
-                    node = above[edge] = {}
-            if rest in node:
-                node[rest] += n
-            else:
-                node[rest] = n
-                self.size += 1
-                if len(node) > BURST and shift > 32 * (LONGEST - 1 - SHALLOW):
-                    burst = Branch()
-                    for r, c in node.items():
-                        burst.setdefault(r >> shift, {})[r & (1 << shift) - 1] = c
-                    if above is None:
-                        self.root = burst
-                    else:
-                        above[edge] = burst
-
-    def walk(self, node: dict, prefix: int, shift: int) -> Iterator[tuple[int, int]]:
-        """Packed sequence and count of all below a node."""
-        if type(node) is Branch:
-            for edge, below in node.items():
-                yield from self.walk(below, prefix | edge << shift, shift - 32)
+    def __init__(self):
+        self.root: Container | list = Container()
+        self.size, self.waiting, self.held = 0, [], 0
+
+    def add(self, high: np.ndarray, low: np.ndarray, n: np.ndarray) -> None:
+        self.waiting.append((high, low, n))
+        self.held += len(high)
+        if self.held > TOGETHER:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.waiting:
+            columns = [np.concatenate(c) for c in zip(*self.waiting)]
+            self.waiting, self.held = [], 0
+            self.root = self._add(self.root, columns, 0)
+            self.size = _size(self.root)
+
+    def _add(self, node: Container | list, columns: list[np.ndarray], depth: int) -> Container | list:
+        if isinstance(node, Container):
+            node.add(*columns)
+            if node.size <= BURST or depth == SHALLOW:
+                return node
+            node, columns = [Container() for _ in range(FAN)], list(node.items())
+        digit = (columns[0] >> np.uint64(32 + DIGIT * depth)).astype(np.uint8) & np.uint8(FAN - 1)
+        order = np.argsort(digit, kind="stable")
+        cuts = np.searchsorted(digit[order], np.arange(FAN + 1))
+        for d in range(FAN):
+            if cuts[d] < cuts[d + 1]:
+                some = order[cuts[d] : cuts[d + 1]]
+                node[d] = self._add(node[d], [c[some] for c in columns], depth + 1)
+        return node
+
+    def spill(self, keep: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Take out whole subtrees, the largest first, until at most ``keep`` phrases are left."""
+        self.settle()
+        places: list[tuple[list, int]] = []
+
+        def find(node: list) -> None:
+            for d in range(FAN):
+                if isinstance(node[d], Container):
+                    places.append((node, d))
+                else:
+                    find(node[d])
+
+        top = [self.root]
+        if isinstance(self.root, Container):
+            places.append((top, 0))
         else:
-            for rest, n in node.items():
-                yield prefix | rest, n
-
-    def spill(self, keep: int) -> list[tuple[int, int]]:
-        """Take out whole subtrees under the root, the largest first, until at most ``keep`` sequences are left."""
-        top = 32 * (LONGEST - 1)
-        if type(self.root) is not Branch:
-            out, self.root, self.size = list(self.root.items()), {}, 0
-            return out
-        sizes = [(-sum(1 for _ in self.walk(below, 0, top - 32)), edge) for edge, below in self.root.items()]
-        heapq.heapify(sizes)
+            find(self.root)
         out = []
-        while self.size > keep and sizes:
-            n, edge = heapq.heappop(sizes)
-            out += self.walk(self.root.pop(edge), edge << top, top - 32)
-            self.size += n
+        for node, d in sorted(places, key=lambda p: -p[0][p[1]].size):
+            if self.size <= keep or not node[d].size:
+                break
+            out.append(node[d].items())
+            self.size -= node[d].size
+            node[d] = Container()
+        self.root = top[0]
         return out
 
 
-class Numbers(dict):
+def _size(node: Container | list) -> int:
+    return node.size if isinstance(node, Container) else sum(map(_size, node))
+
+
+class Numbers:
     """Word to number, from 1; 0 ends a piece.  ``spelt`` and ``hashes`` follow the numbers."""
 
     def __init__(self):
-        super().__init__()
-        self[_END] = 0
-        self.spelt, self.fresh, self.hashes = [_END], [0], np.zeros(0, np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.spelt)
-        self.spelt.append(word)
-        self.fresh.append(xxhash.xxh64_intdigest(word))
-        return n
+        self.number = {_END: 0}
+        self.spelt, self.hashes = [_END], np.zeros(1, np.uint64)
 
     def of(self, found: list[bytes]) -> np.ndarray:
-        ids = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        if self.fresh:
-            self.hashes = np.concatenate([self.hashes, np.array(self.fresh, np.uint64)])
-            self.fresh = []
-        return ids
+        own = dict.fromkeys(found)  # a table of this stretch alone stays in the processor's cache
+        fresh = []
+        for word in own:
+            n = self.number.get(word)
+            if n is None:
+                n = self.number[word] = len(self.spelt)
+                self.spelt.append(word)
+                fresh.append(xxhash.xxh64_intdigest(word))
+            own[word] = n
+        if fresh:
+            self.hashes = np.concatenate([self.hashes, np.array(fresh, np.uint64)])
+        return np.fromiter(map(own.__getitem__, found), np.int64, len(found))
 
 
 def phrase_hashes(lang: str, hashes: list[np.ndarray]) -> np.ndarray:
@@ -158,20 +207,26 @@ def known_phrases(counted: DataFrame) -> Known:
     return Known(table)
 
 
-def _runs(lang: str, sequences: list[tuple[int, int]], numbers: Numbers) -> Iterator[pa.RecordBatch]:
-    """Sequences as a run that is sorted by phrase, in batches."""
-    spelt = numbers.spelt
-    run = []
-    for key, n in sequences:
-        ids = [key >> shift & _ID for shift in range(32 * (LONGEST - 1), -1, -32)]
-        run.append((b" ".join([spelt[i] for i in ids if i]), n))
-    run.sort()
-    for at in range(0, len(run), RUN_ROWS):
-        some = run[at : at + RUN_ROWS]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(some)), pa.array([p for p, _ in some], pa.binary()).cast(pa.string()), pa.array([n for _, n in some], pa.int64())],
-            names=["lang", "phrase", "n"],
-        )
+def _runs(lang: str, subtrees: list[tuple[np.ndarray, np.ndarray, np.ndarray]], numbers: Numbers) -> Iterator[pa.RecordBatch]:
+    """Subtrees as runs in the order of their words, one per phrase length, in batches."""
+    if not subtrees:
+        return
+    high, low, n = (np.concatenate(c) for c in zip(*subtrees))
+    spelt = pa.array(numbers.spelt, pa.binary()).cast(pa.string())
+    rank = np.zeros(len(spelt), np.uint64)
+    rank[pc.sort_indices(spelt).to_numpy()] = np.arange(1, len(spelt) + 1, dtype=np.uint64)
+    rank[0] = 0
+    ids = [(x >> np.uint64(shift) & np.uint64(_ID)).astype(np.int64) for x in (high, low) for shift in (32, 0)]
+    first, second = (rank[ids[i]] << np.uint64(32) | rank[ids[i + 1]] for i in (0, 2))
+    length = sum((i > 0).astype(np.int8) for i in ids)
+    for k in np.unique(length).tolist():
+        own = np.flatnonzero(length == k)
+        own = own[np.lexsort((second[own], first[own])) if k > 2 else np.argsort(first[own])]
+        for at in range(0, len(own), RUN_ROWS):
+            some = own[at : at + RUN_ROWS]
+            said = [spelt.take(pa.array(i[some])) for i in ids[:k]]
+            phrase = pc.binary_join_element_wise(*said, " ") if k > 1 else said[0]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), phrase, pa.array(n[some])], names=["lang", "phrase", "n"])
 
 
 def counted_in_tasks(docs: DataFrame, shortest: int, longest: int, known: Known | None) -> DataFrame:
@@ -188,6 +243,8 @@ def counted_in_tasks(docs: DataFrame, shortest: int, longest: int, known: Known
         is_known = Known(shared.value) if shared else None
 
         def spilled(keep: int) -> Iterator[pa.RecordBatch]:
+            for trie in tries.values():
+                trie.settle()
             for lang, trie in sorted(tries.items(), key=lambda t: -t[1].size):
                 others = sum(t.size for t in tries.values()) - trie.size
                 if trie.size + others > keep or not keep:
@@ -203,8 +260,8 @@ def counted_in_tasks(docs: DataFrame, shortest: int, longest: int, known: Known
                     found = (_END + _END.join(texts) + _END).replace(_END, b" . ").split()
                     ids = numbers.of(found)
                     trie = tries.setdefault(lang, HatTrie())
-                    for packed, counts in sequences(lang, ids, numbers.hashes, shortest, longest, is_known):
-                        trie.add(packed, counts)
+                    for packed in sequences(lang, ids, numbers.hashes, shortest, longest, is_known):
+                        trie.add(*packed)
                 if sum(t.size for t in tries.values()) > HELD:
                     yield from spilled(HELD // 2)
                 if len(numbers.spelt) > NUMBERED:
@@ -216,7 +273,7 @@ def counted_in_tasks(docs: DataFrame, shortest: int, longest: int, known: Known
     return rows.mapInArrow(count, "lang string, phrase string, n long")
 
 
-def sequences(lang: str, ids: np.ndarray, hashes: np.ndarray, shortest: int, longest: int, known: Known | None) -> Iterator[tuple[list[int], list[int]]]:
+def sequences(lang: str, ids: np.ndarray, hashes: np.ndarray, shortest: int, longest: int, known: Known | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Packed id sequences and their counts in one stretch of text, one length after another."""
     if known is None:
         live = ids > 0
@@ -230,6 +287,12 @@ def sequences(lang: str, ids: np.ndarray, hashes: np.ndarray, shortest: int, lon
         for j in range(part):
             live &= ids[j : j + size] > 0
     for length in range(shortest, min(longest, len(ids)) + 1):
+        if length == 1:
+            n = np.bincount(ids)
+            n[0] = 0
+            found = np.flatnonzero(n)
+            yield found.astype(np.uint64) << np.uint64(32), np.zeros(len(found), np.uint64), n[found]
+            continue
         hit = live[: len(ids) - length + 1].copy()
         for j in range(1, length - part + 1):
             hit &= live[j : j + len(hit)]
@@ -237,12 +300,7 @@ def sequences(lang: str, ids: np.ndarray, hashes: np.ndarray, shortest: int, lon
         if not len(at):
             return
         own = [ids[at + j].astype(np.uint64) if j < length else np.zeros(len(at), np.uint64) for j in range(LONGEST)]
-        high, low = own[0] << np.uint64(32) | own[1], own[2] << np.uint64(32) | own[3]
-        if length <= 2:
-            high, n = np.unique(high, return_counts=True)
-            yield [h << 64 for h in high.tolist()], n.tolist()
-        else:
-            yield [h << 64 | w for h, w in zip(high.tolist(), low.tolist())], [1] * len(at)
+        yield own[0] << np.uint64(32) | own[1], own[2] << np.uint64(32) | own[3], np.ones(len(at), np.int64)
 
 
 def merged(runs: DataFrame) -> DataFrame:

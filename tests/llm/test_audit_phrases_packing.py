@@ -66,19 +66,33 @@ def test_galloping_merges():
 
 
 def test_trie_bursts_and_spills(monkeypatch):
-    monkeypatch.setattr(hat_trie, "BURST", 5)
-    rng, trie, want, got = random.Random(1), hat_trie.HatTrie(), Counter(), Counter()
+    monkeypatch.setattr(hat_trie, "BURST", 40)
+    monkeypatch.setattr(hat_trie, "TOGETHER", 100)
+    rng, trie, want, got = np.random.default_rng(1), hat_trie.HatTrie(), Counter(), Counter()
+
+    def firsts(subtrees):
+        return {h >> 32 for high, _, _ in subtrees for h in high.tolist()}
+
+    def items(subtrees):
+        return {(h, w): n for columns in subtrees for h, w, n in zip(*(c.tolist() for c in columns))}
+
     for step in range(30):
-        keys = [sum(rng.randint(1, 4) << 32 * (3 - i) for i in range(rng.randint(1, 4))) for _ in range(60)]
-        trie.add(keys, [2] * len(keys))
-        want.update(keys * 2)
+        high = rng.integers(1, 300, 90, dtype=np.uint64) << np.uint64(32) | rng.integers(0, 3, 90, dtype=np.uint64)
+        low = rng.integers(0, 2, 90, dtype=np.uint64) << np.uint64(32)
+        trie.add(high, low, np.full(90, 2))
+        for h, w in zip(high.tolist(), low.tolist()):
+            want[h, w] += 2
         if step % 7 == 6:
-            out = trie.spill(40)
-            firsts = {k >> 96 for k, _ in out}
-            assert trie.size <= 40 and not firsts & {k >> 96 for k, _ in trie.walk(trie.root, 0, 96)}  # whole subtrees
-            got.update(dict(out))
-    assert type(trie.root) is hat_trie.Branch
-    got.update(dict(trie.spill(0)))
+            out = trie.spill(150)
+            assert trie.size <= 150
+            left = trie.spill(0)
+            assert not firsts(out) & firsts(left)  # whole subtrees
+            for columns in left:
+                trie.add(*columns)
+            trie.settle()
+            got.update(items(out))
+    assert isinstance(trie.root, list)
+    got.update(items(trie.spill(0)))
     assert got == want and trie.size == 0
 
 
