@@ -24,12 +24,14 @@ FAN = 1 << DIGIT
 #: Phrases that wait to be added together.
 TOGETHER = 1 << 18
 #: Phrases that the tries of a task hold before whole subtrees are spilled.
-HELD = 1_000_000
+HELD = 2_000_000
 #: Words that a task knows by number; it spills everything and starts anew beyond it.
 NUMBERED = 1_500_000
 #: Bits of the table of counted phrases; a false hit costs work only.
 FILTER_BITS = 1 << 24
 RUN_ROWS = 1 << 16
+#: Words of a phrase whose hash names its partition.
+PREFIX = 3
 
 #: A-Z in lower case, and one sign for all that ends a piece; it can't be part of a word.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
@@ -150,6 +152,7 @@ class Numbers:
     def __init__(self):
         self.number = {_END: 0}
         self.spelt, self.hashes = [_END], np.zeros(1, np.uint64)
+        self.sorted: tuple = (None, ())
 
     def of(self, found: list[bytes]) -> np.ndarray:
         own = dict.fromkeys(found)  # a table of this stretch alone stays in the processor's cache
@@ -165,6 +168,16 @@ class Numbers:
             self.hashes = np.concatenate([self.hashes, np.array(fresh, np.uint64)])
         return np.fromiter(map(own.__getitem__, found), np.int64, len(found))
 
+    def in_order(self) -> tuple[pa.Array, np.ndarray]:
+        """Spellings by number, and the rank of each in byte order."""
+        if len(self.sorted[1]) != len(self.spelt):
+            spelt = pa.array(self.spelt, pa.binary()).cast(pa.string())
+            rank = np.zeros(len(spelt), np.uint64)
+            rank[pc.sort_indices(spelt).to_numpy()] = np.arange(1, len(spelt) + 1, dtype=np.uint64)
+            rank[0] = 0
+            self.sorted = spelt, rank
+        return self.sorted
+
 
 def phrase_hashes(lang: str, hashes: list[np.ndarray]) -> np.ndarray:
     """A hash of each phrase of a language from its words' hashes."""
@@ -212,10 +225,7 @@ def _runs(lang: str, subtrees: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
     if not subtrees:
         return
     high, low, n = (np.concatenate(c) for c in zip(*subtrees))
-    spelt = pa.array(numbers.spelt, pa.binary()).cast(pa.string())
-    rank = np.zeros(len(spelt), np.uint64)
-    rank[pc.sort_indices(spelt).to_numpy()] = np.arange(1, len(spelt) + 1, dtype=np.uint64)
-    rank[0] = 0
+    spelt, rank = numbers.in_order()
     ids = [(x >> np.uint64(shift) & np.uint64(_ID)).astype(np.int64) for x in (high, low) for shift in (32, 0)]
     first, second = (rank[ids[i]] << np.uint64(32) | rank[ids[i + 1]] for i in (0, 2))
     length = sum((i > 0).astype(np.int8) for i in ids)
@@ -226,11 +236,12 @@ def _runs(lang: str, subtrees: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
             some = own[at : at + RUN_ROWS]
             said = [spelt.take(pa.array(i[some])) for i in ids[:k]]
             phrase = pc.binary_join_element_wise(*said, " ") if k > 1 else said[0]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), phrase, pa.array(n[some])], names=["lang", "phrase", "n"])
+            part = (phrase_hashes(lang, [numbers.hashes[i[some]] for i in ids[: min(k, PREFIX)]]) >> np.uint64(33)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([lang] * len(some)), phrase, pa.array(n[some])], names=["part", "lang", "phrase", "n"])
 
 
 def counted_in_tasks(docs: DataFrame, shortest: int, longest: int, known: Known | None) -> DataFrame:
-    """(lang, phrase, n): sorted runs of the phrases of ``shortest`` to ``longest`` words that each task has seen.
+    """(part, lang, phrase, n): sorted runs of the phrases of ``shortest`` to ``longest`` words that each task has seen.
 
     A phrase is looked for where all its parts of ``shortest - 1`` words are ``known``.  A task holds at most HELD
     sequences and NUMBERED words.
@@ -270,7 +281,7 @@ def counted_in_tasks(docs: DataFrame, shortest: int, longest: int, known: Known
         yield from spilled(0)
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text")
-    return rows.mapInArrow(count, "lang string, phrase string, n long")
+    return rows.mapInArrow(count, "part int, lang string, phrase string, n long")
 
 
 def sequences(lang: str, ids: np.ndarray, hashes: np.ndarray, shortest: int, longest: int, known: Known | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -304,8 +315,9 @@ def sequences(lang: str, ids: np.ndarray, hashes: np.ndarray, shortest: int, lon
 
 
 def merged(runs: DataFrame) -> DataFrame:
-    """(lang, phrase, n) of all runs together: ranges of phrases, so that a prefix with very many phrases is cut by longer ones."""
-    return runs.repartitionByRange(F.col("lang"), F.col("phrase")).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    """(lang, phrase, n) of all runs together, merged where their prefix sends them; a prefix with a large share of all
+    occurrences is one row of each run that has it."""
+    return runs.repartition("part").groupBy("part", "lang", "phrase").agg(F.sum("n").alias("n")).drop("part")
 
 
 def phrase_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -314,11 +326,11 @@ def phrase_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Words first, then pairs of counted words, then longer phrases of counted pairs: every part of a counted phrase is
     counted.  Each of the three passes reads all texts.
     """
-    runs = written(counted_in_tasks(docs, 1, 1, None))
-    totals = runs.groupBy("lang").agg(F.sum("n").alias("n"))
-    levels = [written(merged(runs).filter(F.col("n") >= LEAST))]
+    every = written(merged(counted_in_tasks(docs, 1, 1, None)))
+    totals = every.groupBy("lang").agg(F.sum("n").alias("n"))
+    levels = [every.filter(F.col("n") >= LEAST)]
     for shortest, longest in ((2, 2), (3, LONGEST)):
-        runs = written(counted_in_tasks(docs, shortest, longest, known_phrases(levels[-1])))
+        runs = counted_in_tasks(docs, shortest, longest, known_phrases(levels[-1]))
         levels.append(written(merged(runs).filter(F.col("n") >= LEAST)))
     counted = levels[0].unionByName(levels[1]).unionByName(levels[2])
     return totals, counted.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("k"), F.col("n").alias("f"))
