@@ -28,6 +28,59 @@ def to_wkt_line(pts: Column, decimals: int = 6) -> Column:
     return F.concat(F.lit("LINESTRING ("), F.array_join(texts, ", "), F.lit(")"))
 
 
+def _whole_number(digits: Column) -> Column:
+    return F.conv(digits, 16, 10).cast("long")
+
+
+def _in_order(digits: Column, little: Column) -> Column:
+    """Hex digits of a number with its highest byte first."""
+    n = F.length(digits)
+    turned = F.array_join(F.transform(F.sequence((n / 2 - 1).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.substr(digits, (i * 2 + 1).cast("int"), F.lit(2))), "")
+    return F.when(little, turned).otherwise(digits)
+
+
+def double_of_hex(digits: Column) -> Column:
+    """The IEEE double of 16 hex digits, highest byte first, by sign, exponent and fraction; NULL where it is not finite."""
+    head, fraction = _whole_number(F.substr(digits, F.lit(1), F.lit(3))), _whole_number(F.substr(digits, F.lit(4), F.lit(13)))
+    sign, exponent = F.when(head >= 2048, -1.0).otherwise(1.0), head % 2048
+    part = fraction.cast("double") / 4503599627370496.0  # 2**52
+    size = F.when(exponent == 0, part * F.pow(F.lit(2.0), F.lit(-1022.0))).otherwise((part + 1.0) * F.pow(F.lit(2.0), exponent - 1023.0))
+    return F.when(exponent < 2047, sign * size)
+
+
+def hex_of_double(x: Column) -> Column:
+    """16 hex digits of a finite normal double or zero, highest byte first."""
+    size = F.abs(x)
+    guess = F.floor(F.log2(size)).cast("double")
+    guess = F.when(F.pow(F.lit(2.0), guess) > size, guess - 1).when(F.pow(F.lit(2.0), guess + 1) <= size, guess + 1).otherwise(guess)
+    fraction = ((size / F.pow(F.lit(2.0), guess) - 1.0) * 4503599627370496.0).cast("long")
+    head = (guess + 1023).cast("long") + F.when(x < 0, 2048).otherwise(0)
+    return F.when(x == 0, F.lit("0" * 16)).otherwise(F.concat(F.lpad(F.lower(F.hex(head)), 3, "0"), F.lpad(F.lower(F.hex(fraction)), 13, "0")))
+
+
+def parse_wkb_line(wkb: Column) -> Column:
+    """Binary LINESTRING (either byte order) to an array of points; NULL for another geometry or a wrong length."""
+    digits = F.lower(F.hex(wkb))
+    little = F.substr(digits, F.lit(1), F.lit(2)) == "01"
+    kind = _whole_number(_in_order(F.substr(digits, F.lit(3), F.lit(8)), little))
+    n = _whole_number(_in_order(F.substr(digits, F.lit(11), F.lit(8)), little))
+
+    def number(at: Column) -> Column:
+        return double_of_hex(_in_order(F.substr(digits, at.cast("int"), F.lit(16)), little))
+
+    points = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.struct(number(19 + i * 32).alias("x"), number(35 + i * 32).alias("y")))
+    none = F.array().cast("array<struct<x:double,y:double>>")
+    return F.when((kind == 2) & (F.length(digits) == 18 + 32 * n), F.when(n == 0, none).otherwise(points))
+
+
+def to_wkb_line(pts: Column, little: bool = True) -> Column:
+    """Points to a binary LINESTRING."""
+    order = F.lit(little)
+    body = F.array_join(F.transform(pts, lambda p: F.concat(_in_order(hex_of_double(p["x"]), order), _in_order(hex_of_double(p["y"]), order))), "")
+    count = F.lpad(F.lower(F.hex(F.size(pts))), 8, "0")
+    return F.unhex(F.concat(F.lit("01" if little else "00"), _in_order(F.lit("00000002"), order), _in_order(count, order), body))
+
+
 def steps(pts: Column) -> Column:
     """Length of each edge."""
     return F.zip_with(

@@ -122,8 +122,43 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
 
 
 def sample_rows(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
-    """Repeatable random sample of k rows: the k lowest seeded hashes."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(k)
+    """Repeatable random sample of exactly k rows (all, if fewer): those of the lowest digests of seed and key, ties by key.
+
+    The k-th digest is found by counting: a histogram of four hex digits names the bin that holds it, and the next four
+    digits are counted inside that bin.  At most 65,536 counts reach the driver at a time and one filter takes the rows,
+    so k is bounded by no task's memory.  Only rows that share 16 digits with the k-th are ordered.
+    """
+    drawn = df.withColumn("__digest", F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.col(key).cast("string"))), 1, 16))
+    prefix, left = "", k
+    while len(prefix) < 16 and left > 0:
+        inside = drawn.filter(F.col("__digest").startswith(prefix))
+        counts = inside.groupBy(F.substring("__digest", 1, len(prefix) + 4).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for r in sorted(counts):
+            if left <= r.n:
+                prefix = r.p
+                break
+            left -= r.n
+        else:
+            return df  # fewer than k rows
+    if left <= 0:
+        return df.limit(0)
+    below = drawn.filter(F.col("__digest") < prefix)
+    tied = drawn.filter(F.col("__digest") == prefix).orderBy(key).limit(left)
+    return below.unionByName(tied).drop("__digest")
+
+
+def wide_matrix(long: DataFrame, row: str, col: str, value: str, calendar: Sequence, names: Sequence[str], block: int = 200) -> DataFrame:
+    """One row per ``row`` and one column per calendar entry, NULL where nothing was measured.
+
+    Columns come from the calendar, not from the data.  They are made in blocks, so a plan holds at most ``block``
+    aggregates; repeated values count once, as their mean.
+    """
+    out = None
+    for at in range(0, len(calendar), block):
+        cells = [F.avg(F.when(F.col(col) == F.lit(c), F.col(value))).alias(n) for c, n in zip(calendar[at : at + block], names[at : at + block])]
+        part = long.groupBy(row).agg(*cells)
+        out = part if out is None else out.join(part, row)
+    return out if out is not None else long.select(row).distinct()
 
 
 def expand_offsets(df: DataFrame, ts: str, offsets: Sequence[int], unit: str, name: str = "offset") -> DataFrame:

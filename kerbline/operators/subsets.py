@@ -158,3 +158,42 @@ def raced_search(g: Gram, features: Sequence[str], target: str, penalties: Seque
         if won:
             best, winner = error, l2
     return winner, log
+
+
+@dataclass
+class Components:
+    """Principal components of standardised columns: shares of the variance, and a column of loadings for each."""
+
+    columns: list[str]
+    shares: np.ndarray
+    loadings: np.ndarray
+
+    def needed(self, share: float) -> int:
+        """How many components explain that share."""
+        return int(np.searchsorted(np.cumsum(self.shares), share - 1e-12) + 1)
+
+    def rows(self) -> list[tuple[str, int, float, float]]:
+        """(column, component, loading, share); of a component's loadings, the first of the largest size is positive."""
+        return [(c, k + 1, float(self.loadings[i, k]), float(self.shares[k])) for k in range(len(self.shares)) for i, c in enumerate(self.columns)]
+
+
+def components(df: DataFrame, columns: Sequence[str]) -> Components:
+    """Components from one aggregate of cross products in blocks, so no row and no aggregate holds all pairs of columns."""
+    g = gram(df.withColumn("__all", F.lit(0)), columns, [], "__all")
+    m = g.sums[0]
+    mean = m[0] / m[0, 0]
+    cov = (m / m[0, 0] - np.outer(mean, mean))[1:, 1:]
+    size = np.sqrt(np.diag(cov))
+    held = size > 0
+    scale = np.where(held, size, 1.0)
+    values, vectors = np.linalg.eigh(cov / np.outer(scale, scale))
+    order = np.argsort(-values)
+    values, vectors = np.maximum(values[order], 0.0), vectors[:, order]
+    largest = (np.abs(vectors) >= np.abs(vectors).max(0) - 1e-9).argmax(0)
+    vectors = vectors * np.where(vectors[largest, np.arange(len(values))] < 0, -1.0, 1.0)
+    return Components(list(columns), values / max(values.sum(), 1e-300), vectors)
+
+
+def block_components(df: DataFrame, groups: Mapping[str, Sequence[str]]) -> dict[str, Components]:
+    """Components of each group of columns on its own, from the rows that are complete in it."""
+    return {name: components(df, members) for name, members in groups.items()}

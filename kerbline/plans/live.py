@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from kerbline.functions import geometry
 from kerbline.operators import record_rules as rules
+from kerbline.operators import relational as rel
 from kerbline.operators import selection as sel
 from kerbline.operators import subsets
 from kerbline.plans.models import model_rows
 from kerbline.plans.registry import query
 from kerbline.plans.risk import SEG, rounded
+from kerbline.sources import store
 from kerbline.streaming import traffic
 
 ASKED = ["click", "view", "click :: purchase", "view :: purchase"]
@@ -111,3 +115,82 @@ def stream_seen_once(t):
     """Each piece stored once, whatever batch brings it, in a dimension of hash buckets."""
     seen = traffic.run_seen_once(in_files(t, "pieces", 3), "props", 16)
     return seen.join(t.events.select("event_id", F.lit(True).alias("in_events")), "event_id", "left").select("props", F.coalesce("in_events", F.lit(False)).alias("in_events"))
+
+
+@query(
+    "binary_lines",
+    """WITH p AS (SELECT o_custkey AS id, o_orderkey, o_totalprice / 7 AS x, -(o_orderkey * 37 % 1000) / 8.0 AS y FROM orders)
+SELECT id, count(*) AS points, round(sum(x), 6) AS sum_x, round(sum(y), 6) AS sum_y, round(max(x), 9) AS max_x FROM p WHERE id % 3 <> 0 GROUP BY 1""",
+)
+def binary_lines(t):
+    """Lines written as binary geometry in both byte orders and decoded again."""
+    o = t.orders.filter(F.col("o_custkey") % 3 != 0).select("o_custkey", "o_orderkey", F.struct((F.col("o_totalprice") / 7).alias("x"), (-(F.col("o_orderkey") * 37 % 1000) / 8.0).alias("y")).alias("p"))
+    lines = o.groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list("p").alias("pts"))  # the orders of one customer
+    wkb = F.when(F.col("id") % 2 == 0, geometry.to_wkb_line(F.col("pts"))).otherwise(geometry.to_wkb_line(F.col("pts"), little=False))
+    points = lines.select("id", wkb.alias("wkb")).select("id", F.inline(geometry.parse_wkb_line(F.col("wkb"))))
+    got = points.groupBy("id").agg(F.count(F.lit(1)).alias("points"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"), F.max("x").alias("max_x"))
+    return got.select("id", "points", F.round("sum_x", 6).alias("sum_x"), F.round("sum_y", 6).alias("sum_y"), F.round("max_x", 9).alias("max_x"))
+
+
+RANKED = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+@query(
+    "target_ranks",
+    "WITH f AS (SELECT l_extendedprice AS y, unnest(['l_quantity', 'l_discount', 'l_tax', 'l_linenumber']) AS feature, unnest([l_quantity::DOUBLE, l_discount::DOUBLE, l_tax::DOUBLE, CASE WHEN l_linenumber > 1 THEN l_linenumber::DOUBLE END]) AS x FROM lineitem), "
+    "g AS (SELECT * FROM f WHERE x IS NOT NULL), r AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry FROM g) "
+    "SELECT feature, round(corr(rx, ry), 6) AS rho, count(*) AS n FROM r GROUP BY 1",
+)
+def target_ranks(t):
+    """Rank correlation of each feature with the price, with ties and missing values."""
+    items = t.lineitem.withColumn("l_linenumber", F.when(F.col("l_linenumber") > 1, F.col("l_linenumber")))
+    return rounded(sel.target_rank_correlation(items, RANKED, "l_extendedprice"), 6)
+
+
+@query(
+    "exact_sample",
+    "SELECT o_orderkey, o_totalprice FROM orders ORDER BY substr(md5('7-' || o_orderkey), 1, 16), o_orderkey LIMIT 1000",
+)
+def exact_sample(t):
+    """Exactly 1000 random orders, by the threshold of the thousandth digest."""
+    return rel.sample_rows(t.orders, "o_orderkey", 1000, 7).select("o_orderkey", "o_totalprice")
+
+
+HOURS = [f"h{h:02d}" for h in range(24)]
+
+
+@query(
+    "tile_hour_wide",
+    "SELECT user_id AS tile, " + ", ".join(f"round(avg(value) FILTER (WHERE hour(ts) = {h}), 6) AS {n}" for h, n in enumerate(HOURS)) + " FROM events GROUP BY 1",
+)
+def tile_hour_wide(t):
+    """One row per tile and one column per hour of the day; hours without a reading are NULL."""
+    long = t.events.select(F.col("user_id").alias("tile"), F.hour("ts").alias("hour"), "value")
+    wide = rel.wide_matrix(long, "tile", "hour", "value", list(range(24)), HOURS, block=10)
+    return wide.select("tile", *[F.round(h, 6).alias(h) for h in HOURS])
+
+
+@query(
+    "log_with_rejects",
+    "SELECT count(*) AS lines, count(*) FILTER (WHERE event_id % 7 <> 0) AS kept, count(*) FILTER (WHERE event_id % 7 = 0) AS rejected, sum(event_id) FILTER (WHERE event_id % 7 <> 0)::BIGINT AS id_sum FROM events",
+)
+def log_with_rejects(t):
+    """A JSON log in which every seventh line is cut off: what parses, and what doesn't."""
+    line = F.to_json(F.struct("event_id", "event_type", "value"))
+    path = f"{traffic.work_folder(t.spark, 'log')}/in"
+    t.events.select(F.when(F.col("event_id") % 7 == 0, F.substring(line, 1, 12)).otherwise(line).alias("value")).write.text(path)
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
+    kept, rejected = store.read_log_with_rejects(t.spark, path, schema)
+    return kept.agg((F.count(F.lit(1)) + rejected.agg(F.count(F.lit(1))).scalar()).alias("lines"), F.count(F.lit(1)).alias("kept"), rejected.agg(F.count(F.lit(1))).scalar().alias("rejected"), F.sum("event_id").alias("id_sum"))
+
+
+@query(
+    "component_loadings",
+    """WITH m AS (SELECT CASE WHEN corr(l_quantity, l_extendedprice) < 0 THEN -1 ELSE 1 END AS s, abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem)
+SELECT c AS feature, k AS component, round(CASE WHEN k = 1 THEN (CASE WHEN c = 'l_quantity' THEN 1 ELSE s END) ELSE (CASE WHEN c = 'l_quantity' THEN 1 ELSE -s END) END * sqrt(0.5), 6) AS loading, round((1 + (CASE WHEN k = 1 THEN r ELSE -r END)) / 2, 6) AS share
+FROM m, (VALUES ('l_quantity'), ('l_extendedprice')) f(c), (VALUES (1), (2)) g(k)""",
+)
+def component_loadings(t):
+    """Two standardised columns: the components are their sum and their difference, signs fixed."""
+    got = subsets.components(t.lineitem, ["l_quantity", "l_extendedprice"])
+    return rounded(t.spark.createDataFrame(got.rows(), "feature string, component int, loading double, share double"), 6)

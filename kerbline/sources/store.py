@@ -46,6 +46,19 @@ def read_json_log(spark: SparkSession, path: str, schema: T.StructType | str, ke
     return df.filter(keep) if keep is not None else df
 
 
+def read_log_with_rejects(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """JSON lines as (records, rejected lines): no line is lost, a line that doesn't parse comes out as its text.
+
+    Both tables read the lines once each and share no cache, so a log of any size may be split over executors.  Blank
+    lines are neither.
+    """
+    whole = T.StructType([*schema.fields, T.StructField("__line", T.StringType())])
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    said = lines.select(F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__line"}).alias("r"), "value")
+    bad = F.col("r").isNull() | F.col("r.__line").isNotNull()
+    return said.filter(~bad).select(*[F.col(f"r.{f}") for f in schema.names]), said.filter(bad).select("value")
+
+
 def combine_parts(spark: SparkSession, pattern: str, keys: Sequence[str]) -> DataFrame:
     """Many part files as one table, one row per key."""
     return spark.read.parquet(pattern).dropDuplicates(list(keys))
