@@ -7,7 +7,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from kerbline.operators import ordered
 SEQUENCE = 2048
 END_ID = 0
 #: A worker that knows more chunks of text forgets all but the first EARLY; results don't depend on it.
-REMEMBERED, EARLY = 600_000, 200_000
+REMEMBERED, EARLY = 700_000, 300_000
 OUT_BYTES = 8 << 20
 
 
@@ -49,7 +49,6 @@ class ChunkEncoder:
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         self.end = np.array([END_ID], self.kind).tobytes()
         self.ids: dict[bytes, bytes | None] = {}
-        self.parts: dict[bytes, bytes] = {}
 
     def _alone(self, some: list[bytes]) -> dict[bytes, bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
@@ -69,26 +68,33 @@ class ChunkEncoder:
             out |= {w: blob[a:b] for w, a, b in zip(block, cuts[:-1], cuts[1:])}
         return out
 
-    def learn(self, unseen: set[bytes]) -> None:
-        made, others = [], []
+    def learn(self, unseen: list[bytes]) -> None:
+        """Chunks, and on the way the runs of letters and of marks that they are made of: these are chunks as well."""
+        spaced, alone, made = [], [], []
         for chunk in unseen:
+            if chunk[:1] == b" " and chunk[1:].isalpha():
+                spaced.append(chunk)
+                continue
             body = chunk.lstrip(self.SPACES)
             core = body.rstrip(self.MARKS)
             lead = chunk[: len(chunk) - len(body)]
             # a run of letters, marks behind it, and one space or line end before it are pre-tokens of their own
             if len(lead) < 2 and core and (core.isalpha() or self._plain(core)):
-                made.append((chunk, (lead + core, body[len(core) :]) if lead in (b"", b" ") else (lead, core, body[len(core) :])))
+                if lead == b" ":
+                    core, lead = b" " + core, b""
+                if len(core) == len(chunk):
+                    (spaced if core[:1] == b" " else alone).append(core)
+                else:
+                    made.append((chunk, [p for p in (lead, core, body[len(body.rstrip(self.MARKS)) :]) if p]))
             elif any(c.isspace() and c > "\x7f" for c in body.decode()):
                 self.ids[chunk] = None
             else:
-                others.append(chunk)
-        fresh = {p for _, parts in made for p in parts if p and p not in self.parts}
-        spaced = [p for p in fresh if len(p) > 1 and p[:1] == b" "]
-        self.parts |= self._together(spaced)
-        self.parts |= self._alone(list(fresh.difference(spaced)))
-        self.parts[b""] = b""
-        self.ids.update((chunk, b"".join([self.parts[p] for p in parts])) for chunk, parts in made)
-        self.ids |= self._alone(others)
+                alone.append(chunk)
+        self.ids |= self._together(spaced) | self._alone(alone)
+        fresh = dict.fromkeys(p for _, parts in made for p in parts if p not in self.ids)  # in the order of the text, which keeps neighbours together
+        self.ids |= self._together([p for p in fresh if p[:1] == b" " and len(p) > 1]) | self._alone([p for p in fresh if p[:1] != b" " or len(p) == 1])
+        known = self.ids.__getitem__
+        self.ids.update([(chunk, b"".join(map(known, parts))) for chunk, parts in made])
 
     @staticmethod
     def _plain(core: bytes) -> bool:
@@ -100,15 +106,17 @@ class ChunkEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids in bytes, with END_ID after them."""
         if len(self.ids) > REMEMBERED:
-            self.ids, self.parts = dict(islice(self.ids.items(), EARLY)), {}
+            self.ids = dict(islice(self.ids.items(), EARLY))
         split = [self.CHUNK.findall(t) for t in texts]
-        self.learn(set().union(*split).difference(self.ids))
-        known, out = self.ids.__getitem__, []
+        own = dict.fromkeys(chain.from_iterable(split))  # a table of this stretch alone stays in the processor's cache
+        self.learn([c for c in own if c not in self.ids])
+        own = dict(zip(own, map(self.ids.__getitem__, own)))
+        known, out = own.__getitem__, []
         for text, chunks in zip(texts, split):
-            found = list(map(known, chunks))
-            if None in found:
-                found = [self._alone([text])[text]]
-            out.append(b"".join(found) + self.end)
+            try:
+                out.append(b"".join(map(known, chunks)) + self.end)
+            except TypeError:  # white space beyond ASCII
+                out.append(self._alone([text])[text] + self.end)
         return out
 
 
