@@ -56,12 +56,18 @@ class Words:
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word, with A-Z lower-cased if asked."""
-        power, inverse = _power_tables(len(self.data))
-        codes = (_LOWER[self.data] if lower else self.data.astype(np.uint64)) + np.uint64(1)
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * power[: len(codes)], out=sums[1:])
-        return mix64((sums[self.end] - sums[self.start]) * inverse[self.start])
+        """A 64-bit hash of each word, with A-Z lower-cased if asked.
+
+        Each byte is mixed with its place in the word before the sum, so no pattern of bytes cancels out.
+        """
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        size = self.end - self.start
+        first = np.cumsum(size) - size
+        place = np.arange(first[-1] + size[-1]) - np.repeat(first, size)
+        own = self.data[place + np.repeat(self.start, size)]
+        codes = _LOWER[own] if lower else own.astype(np.uint64)
+        return mix64(np.add.reduceat(mix64((codes << np.uint64(40) | place.astype(np.uint64)) + _BASE), first) + size.astype(np.uint64))
 
 
 def run_hashes(word: np.ndarray, k: int, step: int = int(_STEP)) -> np.ndarray:

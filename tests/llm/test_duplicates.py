@@ -181,3 +181,13 @@ def test_remove_repeats_odd_tables(spark):
     text = " ".join(f"v{i}" for i in range(30))
     out = substrings.remove_repeats(docs(spark, [(3, text), (3, text), (None, text), (7, text)])).collect()
     assert sorted((r.doc_id or -1, r.n_removed) for r in out) == [(-1, 0), (3, 0), (3, 0), (7, 30)]
+
+
+def test_words_that_cancel_out_in_sums_of_powers(spark):
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    word, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    head = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{head} {word}"), (2, f"{head} {other}"), (3, word), (4, other)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    near = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs.filter("doc_id > 2")).collect()}
+    assert near == {3: 3, 4: 4}
