@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ SEQUENCE = 4096
 END_ID = 2
 DIMENSIONS = 4
 BITS = 8
-#: A worker forgets the words it has encoded when it holds this many; results don't depend on it.
-REMEMBERED = 200_000
+#: A worker that has encoded more words forgets all but the first EARLY; results don't depend on it.
+REMEMBERED, EARLY = 400_000, 200_000
 OUT_BYTES = 8 << 20
 
 
@@ -66,7 +67,7 @@ class WordEncoder:
             out |= {w: blob[a:b] for w, a, b in zip(block, cuts[:-1].tolist(), cuts[1:].tolist())}
         return out
 
-    def learn(self, unseen: set[bytes]) -> None:
+    def learn(self, unseen: list[bytes]) -> None:
         plain, marked, others = [], [], []
         for word in unseen:
             core = word.rstrip(self.MARKS)
@@ -84,10 +85,11 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids in bytes, with END_ID after them."""
         if len(self.ids) > REMEMBERED:
-            self.ids, self.parts = {}, {}
+            self.ids, self.parts = dict(islice(self.ids.items(), EARLY)), dict(islice(self.parts.items(), EARLY))
         split = [t.split() for t in texts]
-        self.learn(set().union(*split).difference(self.ids))
-        known = self.ids.__getitem__
+        own = dict.fromkeys(chain.from_iterable(split))  # in the order of the text, which keeps neighbours together
+        self.learn([w for w in own if w not in self.ids])
+        known = dict(zip(own, map(self.ids.__getitem__, own))).__getitem__
         return [b"".join(map(known, s)) + self.end for s in split]
 
 
