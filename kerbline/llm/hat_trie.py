@@ -24,9 +24,9 @@ FAN = 1 << DIGIT
 #: Phrases that wait to be added together.
 TOGETHER = 1 << 18
 #: Phrases that the tries of a task hold before whole subtrees are spilled.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Words that a task knows by number; it spills everything and starts anew beyond it.
-NUMBERED = 1_500_000
+NUMBERED = 1_000_000
 #: Bits of the table of counted phrases; a false hit costs work only.
 FILTER_BITS = 1 << 24
 RUN_ROWS = 1 << 16
