@@ -35,7 +35,7 @@ def _whole_number(digits: Column) -> Column:
 def _in_order(digits: Column, little: Column) -> Column:
     """Hex digits of a number with its highest byte first."""
     n = F.length(digits)
-    turned = F.array_join(F.transform(F.sequence((n / 2 - 1).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.substr(digits, (i * 2 + 1).cast("int"), F.lit(2))), "")
+    turned = F.array_join(F.transform(F.sequence(F.greatest(n / 2 - 1, F.lit(0)).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.substr(digits, (i * 2 + 1).cast("int"), F.lit(2))), "")
     return F.when(little, turned).otherwise(digits)
 
 
