@@ -24,8 +24,8 @@ SIMILAR, OF = 75, 100
 SLOTS = 1 << 19
 #: Rounds of links with hubs only, before all pairs that are left are decided.
 STAR_ROUNDS = 2
-#: A crowded bucket's pairs are decided in blocks of about so many members and, with long texts, so many shingles.
-BLOCK, BLOCK_SHINGLES = 128, 1 << 19
+#: A crowded bucket's members meet in blocks of about so many and, with long texts, so many shingles.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 19
 
 _rng = np.random.default_rng(11)
 #: For each empty bin, the order in which it asks the others: the same for all documents.
@@ -141,69 +141,72 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similar: int = SIMILAR, of: in
 def settled(buckets: DataFrame, label: DataFrame, texts: DataFrame, similar: int = SIMILAR, of: int = OF) -> DataFrame:
     """Links (a, b) between members of a bucket that are no hub of it and lie in different components: all such pairs are decided.
 
-    A bucket's largest component is never compared with itself.  Pairs of a crowded bucket are made and decided in
-    blocks.  A pair that meets in many buckets is decided in one; a text travels once to each block that has a pair
-    for it, and a block returns only links that join what its other links do not.
+    Members outside a bucket's largest component meet all its members; that component isn't compared with itself.
+    No pair is ever a row: a member goes once to each cell (block of the others, block of all) that it has a part in,
+    at most BLOCK members and about BLOCK_SHINGLES shingles a side, and a cell counts common shingles over its posting
+    lists.  A cell returns only links that join what its other links do not, so at most one less than its components.
     """
     kind = texts.schema["id"].dataType.simpleString()
     n = texts.groupBy(F.col("id").alias("rep")).agg(F.max("n").alias("n"))
     inner = buckets.filter("rep != least and rep != most").select("key", "rep").join(label, "rep", "left").join(n, "rep")
-    inner = inner.select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    crowd = inner.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).groupBy("key").agg(
-        F.max_by("component", F.struct("rows", "component")).alias("main"), F.count(F.lit(1)).alias("parts"),
-        F.ceil(F.greatest(F.sum("rows") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"),
-    ).filter("parts > 1").drop("parts")
-    crowded = cut_plan(inner.join(crowd, "key"))
-
-    def block(c: str) -> Column:
-        return F.pmod(F.xxhash64(c), F.col("blocks"))
-
-    others = crowded.filter("component != main").select(
-        "key", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
-    )
-    every = crowded.select("key", block("rep").alias("block"), "blocks", "main", F.col("rep").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("y_part"))
-    alike = of * F.least("x_n", "y_n") >= similar * F.greatest("x_n", "y_n")
-    apart = (F.col("x_part") != F.col("y_part")) & ((F.col("y_part") == F.col("main")) | (F.col("x") < F.col("y")))
-    pairs = (
-        others.join(every, ["key", "block"]).filter(apart & alike)
-        .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min(F.struct("key", "blocks")).alias("at"))
-        .select("a", "b", "at.*").select("key", block("a").alias("a_block"), block("b").alias("b_block"), "a", "b")
+    inner = cut_plan(inner.select("key", "rep", "n", F.coalesce("component", "rep").alias("component")))
+    parts = inner.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
+
+    def blocks(rows: Column, n: Column) -> Column:
+        return F.ceil(F.greatest(rows / BLOCK, n / BLOCK_SHINGLES))
+
+    crowd = parts.groupBy("key").agg(
+        F.max(F.struct("rows", "component", "n")).alias("main"), F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")
+    ).filter("parts > 1").select(
+        "key", F.col("main.component").alias("main"), blocks(F.col("rows"), F.col("n")).alias("y_blocks"),
+        blocks(F.col("rows") - F.col("main.rows"), F.col("n") - F.col("main.n")).alias("x_blocks"),
     )
-    pairs = cut_plan(pairs)
-    where = ["key", "a_block", "b_block"]
-    met = pairs.select(*where, F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = texts.join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-
-    def hold(pairs: pa.Table, members: pa.Table) -> pa.Table:
-        ids, sets = members.column("id").to_pylist(), [_one_set(t.as_py()) for t in members.column("text")]
-        row, root = {x: i for i, x in enumerate(ids)}, list(range(len(ids)))
-        ends = np.cumsum([0, *map(len, sets)])
+
+    def cells(x: Column, y: Column, count: str, along: str) -> Column:
+        every = F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
+        return F.transform(every, lambda i: F.struct((i if along == "x" else x).alias("x"), (i if along == "y" else y).alias("y")))
+
+    x, y = (F.pmod(F.xxhash64("rep"), F.col(c)) for c in ("x_blocks", "y_blocks"))
+    at_home, abroad = cells(x, y, "x_blocks", "x"), cells(x, y, "y_blocks", "y")
+    other = F.col("component") != F.col("main")
+    dealt = inner.join(crowd, "key").select(
+        "key", "rep", "component", other.alias("other"), x.alias("own_x"), y.alias("own_y"),
+        F.explode(F.when(other, F.array_union(at_home, abroad)).otherwise(at_home)).alias("cell"),
+    )
+    dealt = dealt.select(
+        "key", "cell.x", "cell.y", "rep", "component", (F.col("cell.y") == F.col("own_y")).alias("home"), (F.col("other") & (F.col("cell.x") == F.col("own_x"))).alias("other")
+    )
+    dealt = cut_plan(dealt)
+    own = texts.join(dealt.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").groupBy(F.col("id").alias("rep")).agg(F.min("text").alias("text"))
+
+    def hold(members: pa.Table) -> pa.Table:
+        members = members.combine_chunks()
+        sets = [s for batch in members.to_batches() for _, _, data, places in words.pieces(batch, "text") for s in shingle_sets(data, places)]
+        part = members.column("component").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        home, others = (members.column(c).to_numpy() for c in ("home", "other"))
+        size = np.array([len(s) for s in sets])
+        ends = np.concatenate([[0], np.cumsum(size)])
         found, place = np.unique(np.concatenate(sets), return_inverse=True)
-        sets = [place[i:j] for i, j in zip(ends[:-1], ends[1:])]
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        has, last, keep = np.zeros(len(found), bool), None, []
-        for i, j in sorted((row[a], row[b]) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())):
-            if i != last:
-                has[:] = False
-                has[sets[i]], last = True, i
-            if top(i) != top(j):
-                both = int(has[sets[j]].sum())
-                if of * both >= similar * (len(sets[i]) + len(sets[j]) - both):
-                    root[top(j)] = top(i)
-                    keep.append((ids[i], ids[j]))
-        return pa.Table.from_arrays(
-            [pa.array([k[c] for k in keep], members.schema.field("id").type) for c in (0, 1)], names=["a", "b"]
-        )
-
-    members = met.withColumnsRenamed({c: f"of_{c}" for c in where}).join(own, "id")
-    decided = pairs.groupBy(*where).cogroup(members.groupBy(*(f"of_{c}" for c in where)))
-    return cut_plan(decided.applyInArrow(hold, f"a {kind}, b {kind}"))
+        owner = np.repeat(np.arange(len(sets)), size)
+        listed = np.flatnonzero(home[owner])
+        posting = owner[listed[np.argsort(place[listed], kind="stable")]]
+        first = np.concatenate([[0], np.cumsum(np.bincount(place[listed], minlength=len(found)))])
+        keep = []
+        for i in np.flatnonzero(others):
+            if (part == part[i]).all():
+                break
+            mine = place[ends[i] : ends[i + 1]]
+            length = first[mine + 1] - first[mine]
+            at = np.repeat(first[mine] - np.cumsum(length) + length, length) + np.arange(length.sum())
+            both = np.bincount(posting[at], minlength=len(sets))
+            for j in np.flatnonzero((part != part[i]) & (of * both >= similar * (size[i] + size - both))):
+                if part[j] != part[i]:
+                    part[part == part[j]] = part[i]
+                    keep.append((i, j))
+        ids = members.column("rep").combine_chunks()
+        return pa.Table.from_arrays([ids.take(pa.array([k[c] for k in keep], pa.int64())) for c in (0, 1)], names=["a", "b"])
+
+    return cut_plan(dealt.join(own, "rep").groupBy("key", "x", "y").applyInArrow(hold, f"a {kind}, b {kind}"))
 
 
 def near_duplicates(

@@ -101,8 +101,13 @@ def edited(rng, words, changes):
     return " ".join(w)
 
 
-def test_near_duplicates_family_around_the_threshold(spark):
-    """Edited copies whose similarities lie on both sides of 0.75: links between texts that no hub resembles count."""
+@pytest.mark.parametrize("block", [minhash.BLOCK, 16])
+def test_near_duplicates_family_around_the_threshold(spark, monkeypatch, block):
+    """Edited copies whose similarities lie on both sides of 0.75: links between texts that no hub resembles count.
+
+    Small blocks cut each bucket into many cells: none of its pairs may fall between them.
+    """
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]
     rows = list(enumerate(edited(rng, words, rng.randint(3, 12)) for _ in range(300)))
