@@ -164,7 +164,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     """Fit on labelled rows that are not held out.
 
     Document frequencies cover all of them.  The classifier is fitted on a sample by the text's hash of
-    ``rows`` in the mean, in one task, in the order of that hash, so a rerun gives the same model.
+    ``rows`` in the mean at most, in one task, in the order of that hash, so a rerun gives the same model; copies
+    of a text with one label are drawn once, and only the sample leaves the tasks that scan.
     No labelled row at all gives a model that knows no language.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).filter(
@@ -192,7 +193,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
                 names=["languages", "weights", "temperature"],
             )
 
-    fitted = sample.coalesce(1).mapInArrow(fit, "languages array<string>, weights binary, temperature double").collect()
+    fitted = sample.dropDuplicates(["draw", "label"]).repartition(1).mapInArrow(fit, "languages array<string>, weights binary, temperature double").collect()
     for r in fitted:
         model.languages, model.temperature = list(r.languages), r.temperature
         model.weights = np.frombuffer(bytes(r.weights), "<f8").reshape(1 << BUCKET_BITS, len(model.languages))

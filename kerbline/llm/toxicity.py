@@ -292,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             numbers = np.r_[made.bias, made.slope, made.offset, made.table]
             yield pa.RecordBatch.from_arrays([pa.array([numbers.tolist()], pa.list_(pa.float64()))], names=["numbers"])
 
-    for r in texts.select("text", "label").coalesce(1).mapInArrow(fit, "numbers array<double>").collect():
+    for r in texts.select("text", "label").repartition(1).mapInArrow(fit, "numbers array<double>").collect():
         model.bias, model.slope, model.offset = r.numbers[:3]
         model.table = np.array(r.numbers[3:])
     return model
