@@ -219,7 +219,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = windows.withColumn("repeats", single).filter("repeats").groupBy("id").agg(F.collect_list("span").alias("more"))
     closed = spans.select("id", F.filter("spans", lambda s: s % 2 == 0).alias("spans"))
     every = closed.join(more, "id", "left").select("id", F.concat("spans", F.coalesce("more", F.array().cast("array<bigint>"))).alias("spans"))
-    return own.join(every, "id", "left").mapInArrow(*_cut(id_col, ids))
+    # both joins read one shuffle of the texts: they have the same rows, columns and key
+    nameless = own.filter("id is null").withColumn("spans", F.lit(None).cast("array<bigint>"))
+    return named.join(every, "id", "left").unionByName(nameless).mapInArrow(*_cut(id_col, ids))
 
 
 SQL = r"""
