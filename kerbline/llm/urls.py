@@ -14,7 +14,6 @@ from kerbline.llm.common import cut_lineage
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.6
-MOST_TOKENS = 2
 LABEL = "verdict="
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,24 +62,28 @@ def url_tokens() -> Column:
     )
 
 
-def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, most: int = MOST_TOKENS) -> DataFrame:
+def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (tokens, verdict, confidence, support) from rows (tokens, verdict).
 
     FP-growth counts the frequent combinations of tokens and verdict over all rows.  A rule stays if it is confident
-    and no part of its tokens says the same at least as surely.  With at most ``most`` tokens and this support
-    there is a bounded number of rules, whatever the number of rows.
+    and no part of its tokens says the same at least as surely, whatever its length: only support and confidence
+    prune.  Parts are looked up under their first token.  The support is a share of the rows, so the number of rules
+    depends on how tokens go together, not on the number of rows.
     """
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items"))
     said = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).associationRules
     sure = cut_lineage(
-        said.filter(F.col("consequent")[0].startswith(LABEL) & (F.size("antecedent") <= most) & ~F.exists("antecedent", lambda t: t.startswith(LABEL)))
+        said.filter(F.col("consequent")[0].startswith(LABEL) & ~F.exists("antecedent", lambda t: t.startswith(LABEL)))
         .select(F.array_sort("antecedent").alias("tokens"), F.expr(f"substr(consequent[0], {len(LABEL) + 1})").alias("verdict"), "confidence", "support")
     )
-    part = sure.filter(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), "verdict", F.col("confidence").alias("part_confidence"))
-    longer = sure.filter(F.size("tokens") > 1).withColumn("token", F.explode("tokens"))
-    weaker = (
-        longer.join(part, ["token", "verdict"]).filter("part_confidence >= confidence").select("tokens", "verdict").distinct()
+    part = sure.select(
+        F.col("tokens").alias("part"), F.col("tokens")[0].alias("token"), "verdict", F.col("confidence").alias("part_confidence")
     )
+    weaker = (
+        sure.filter(F.size("tokens") > 1).withColumn("token", F.explode("tokens")).join(part, ["token", "verdict"])
+        .filter((F.col("part_confidence") >= F.col("confidence")) & (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0))
+        .select("tokens", "verdict").distinct()
+    )
     return sure.join(weaker, ["tokens", "verdict"], "left_anti")
 
 
@@ -134,7 +137,7 @@ def judge_urls(
 
 
 SQL = r"""
-with a as (
+with recursive a as (
   select page_id, coalesce(url, '') u, instr(coalesce(url, ''), '://') i from pages
 ), b as (
   select page_id, case when i > 0 then u[i + 3:] else '' end r, case when i > 0 then translate(u[:i - 1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end scheme from a
@@ -152,21 +155,23 @@ with a as (
     || ['sub:' || x for x in string_split(replace(array_to_string(l[:greatest(len(l) - 2, 0)], '.'), '-', '.'), '.')]
     || ['path:' || regexp_replace(x, '[0-9]+', '0', 'g') for x in string_split(path, '/')]
     || ['key:' || regexp_extract(x, '^[^=]*') for x in string_split(query, '&')] if not x like '%:' or x like '%:%:'])) tokens from d
-), i as (
-  select n, listed.verdict verdict, unnest(tokens) token from t where listed is not null
 ), z as (
   select count(*) n from t where listed is not null
-), s as (
-  select [token] tokens, verdict, count(*) k from i group by 1, 2
+), y as (
+  select tokens every, listed.verdict verdict, count(*) k from t where listed is not null group by 1, 2
+), i as (
+  select every, verdict, k, []::varchar[] tokens, 0::bigint place from y
   union all
-  select [x.token, y.token], x.verdict, count(*) from i x join i y on x.n = y.n and x.token < y.token group by 1, 2
+  select every, verdict, k, list_append(tokens, every[p]), p from i, unnest(range(place + 1, len(every) + 1)) u(p)
+), s as (
+  select tokens, verdict, sum(k)::bigint k from i where len(tokens) > 0 group by 1, 2
 ), o as (
   select tokens, sum(k) k from s group by 1
 ), r as (
   select s.tokens, verdict, s.k::double / o.k confidence from s join o using (tokens), z where s.k >= ceil(0.01::double * z.n) and s.k::double / o.k >= 0.6
 ), m as (
   select * from r where len(tokens) = 1 or not exists (
-    select 1 from r p where len(p.tokens) = 1 and list_contains(r.tokens, p.tokens[1]) and p.verdict = r.verdict and p.confidence >= r.confidence)
+    select 1 from r p where len(p.tokens) < len(r.tokens) and list_has_all(r.tokens, p.tokens) and p.verdict = r.verdict and p.confidence >= r.confidence)
 ), j as (
   select t.n, max(confidence) filter (m.verdict = 'block') block_confidence, max(confidence) filter (m.verdict = 'allow') allow_confidence
   from t join m on list_has_all(t.tokens, m.tokens) where listed is null group by 1
