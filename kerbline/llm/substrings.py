@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.llm import words
-from kerbline.llm.common import cut_lineage
+from kerbline.llm.common import cut_lineage, text_or_empty
 from kerbline.llm.words import mix64
 
 WINDOW = 20
@@ -194,7 +194,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeat its text and are then one document (none is earlier than the other); a row without an id takes
     no part and keeps all; an empty table gives no rows; other columns are ignored.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     ids = own.schema["id"].dataType.simpleString()
     named = own.filter("id is not null")
     parsed = named.mapInArrow(*_parse(ids))
@@ -219,7 +219,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = windows.withColumn("repeats", single).filter("repeats").groupBy("id").agg(F.collect_list("span").alias("more"))
     closed = spans.select("id", F.filter("spans", lambda s: s % 2 == 0).alias("spans"))
     every = closed.join(more, "id", "left").select("id", F.concat("spans", F.coalesce("more", F.array().cast("array<bigint>"))).alias("spans"))
-    # both joins read one shuffle of the texts: they have the same rows, columns and key
+    # both joins read one shuffle of the texts: they have the same rows, columns and key.  The text is an expression of
+    # its own above, as a plain column would be named anew in one branch, and the shuffles would differ
     nameless = own.filter("id is null").withColumn("spans", F.lit(None).cast("array<bigint>"))
     return named.join(every, "id", "left").unionByName(nameless).mapInArrow(*_cut(id_col, ids))
 

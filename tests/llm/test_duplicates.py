@@ -196,3 +196,16 @@ def test_words_that_cancel_out_in_sums_of_powers(spark):
     assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
     near = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs.filter("doc_id > 2")).collect()}
     assert near == {3: 3, 4: 4}
+
+
+def test_texts_are_shuffled_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cut = substrings.remove_repeats(docs)
+        cut.collect()
+        plan = cut._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "ReusedExchange" in plan
