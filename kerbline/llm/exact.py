@@ -111,15 +111,17 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows equal in id and text, one."""
-    kept = content_sort(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__keep"), F.col("text_sha256").alias("__sum"))
-    marked = docs.withColumn("__sum", F.sha2(normalised(text_col).cast("binary"), 256))
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; of rows equal in id and text, one."""
+    kept = content_sort(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("keep"), F.col("text_sha256").alias("sum"))
+    at = {c.lower(): f"c{i}" for i, c in enumerate(docs.columns)}
+    own_id, own_text = at[id_col.lower()], at[text_col.lower()]
+    marked = docs.toDF(*at.values()).withColumn("own_sum", F.sha2(normalised(own_text).cast("binary"), 256))
     # an equal digest and id may still come with another spelling of the white space: the longest text stays
-    points = F.length(text_or_empty(text_col))
-    most = Window.partitionBy(id_col, "__sum").orderBy(points.desc(), F.xxhash64(text_col))
+    points = F.length(text_or_empty(own_text))
+    most = Window.partitionBy(own_id, "own_sum").orderBy(points.desc(), F.xxhash64(own_text))
     return (
-        marked.alias("d").join(kept.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col("k.__keep")) & (F.col("d.__sum") == F.col("k.__sum")), "left_semi")
-        .withColumn("__nth", F.row_number().over(most)).filter("__nth = 1").drop("__nth", "__sum")
+        marked.join(kept, F.col(own_id).eqNullSafe(F.col("keep")) & (F.col("own_sum") == F.col("sum")), "left_semi")
+        .withColumn("nth", F.row_number().over(most)).filter("nth = 1").drop("nth", "own_sum").toDF(*docs.columns)
     )
 
 

@@ -200,28 +200,49 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     return model
 
 
+def _verdicts(own: LanguageModel, batch: pa.RecordBatch, text_col: str) -> list[tuple[str, float]]:
+    """Language and calibrated probability of each text of a batch."""
+    said = []
+    for _, _, data, offsets in words.pieces(batch, text_col):
+        raw = data.tobytes()
+        for i, buckets in enumerate(gram_buckets(raw, offsets)):
+            letters = len(buckets) > 0 and has_letter(raw[offsets[i] : offsets[i + 1]])
+            said.append(own.predict(buckets) if letters else (UNKNOWN, 0.0))
+    return said
+
+
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with __lang_pred and __lang_score (the calibrated probability).
 
     Whole texts are judged, from their characters only.  Defined cases: a null text, or one without a letter,
     is ``und`` with score 0, and so is every text if the model knows no language; repeated rows are judged
-    alike; an empty table gives no rows.
+    alike; an empty table gives no rows; extra columns named like the two that are added are replaced by them.
     """
+    docs = docs.drop("__lang_pred", "__lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("__lang_pred", T.StringType()), T.StructField("__lang_score", T.DoubleType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            said = []
-            for _, _, data, offsets in words.pieces(batch, text_col):
-                raw = data.tobytes()
-                for i, buckets in enumerate(gram_buckets(raw, offsets)):
-                    letters = len(buckets) > 0 and has_letter(raw[offsets[i] : offsets[i + 1]])
-                    said.append(own.predict(buckets) if letters else (UNKNOWN, 0.0))
+            said = _verdicts(shared.value, batch, text_col)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())],
                 names=[*batch.schema.names, "__lang_pred", "__lang_score"],
             )
 
     return docs.mapInArrow(judge, schema)
+
+
+def in_a_language(docs: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language the model knows with at least this probability, with all columns whatever their names.
+
+    Rejected rows don't return from the tasks' Python workers.  Defined cases: as ``identify``; ``und`` never stays.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = [name != UNKNOWN and score >= least for name, score in _verdicts(shared.value, batch, text_col)]
+            yield batch if all(stays) else batch.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -69,7 +69,8 @@ def _levels(grouped: DataFrame, targets: DataFrame, most: float) -> DataFrame:
     )
     few = whole.join(targets.select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s")))
     few = few.select(F.col("source").alias("s"), "target", "all_words", "all_measured")
-    level = (F.col("target") - most * (F.col("words_to") - F.col("words"))) / (F.col("all_measured") - (F.col("measured_to") - F.col("words") * F.col("measure")))
+    rest = F.col("all_measured") - (F.col("measured_to") - F.col("words") * F.col("measure"))
+    level = F.when(rest > 0, (F.col("target") - most * (F.col("words_to") - F.col("words"))) / F.nullif(rest, F.lit(0.0)))
     return (
         running.join(few, F.col("source").eqNullSafe(F.col("s"))).filter((F.col("target") < most * F.col("all_words")) & (F.col("measure") > 0))
         .withColumn("level", level).filter(F.col("level") * F.col("measure") <= most)
@@ -178,7 +179,7 @@ with d as (
   from g window a as (partition by source order by m desc)
 ), v as (
   select h.source, max_by((target - 3.0::double * words_above) / rest_measured, m) level from h join t on h.source is not distinct from t.source
-  where target < 3.0::double * source_size and (target - 3.0::double * words_above) / rest_measured * m <= 3 group by 1
+  where target < 3.0::double * source_size and rest_measured > 0 and (target - 3.0::double * words_above) / rest_measured * m <= 3 group by 1
 ), e as (
   select d.doc_id, d.size, t.source, t.source_size, t.target, u,
     case when source_size = 0 then 0 when target >= 3.0::double * source_size then 3 else least(3.0::double, coalesce(level, 0) * m) end::double wanted

@@ -302,8 +302,10 @@ def judge(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
     """All rows and columns of ``docs`` with __toxic_score, from whole texts only.
 
     Defined cases: a null or empty text, or one without words of three letters, scores like a text that no word speaks against;
-    without labels every text scores alike, under one half; repeated rows score alike; an empty table gives no rows.
+    without labels every text scores alike, under one half; repeated rows score alike; an empty table gives no rows;
+    an extra column named __toxic_score is replaced.
     """
+    docs = docs.drop("__toxic_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("__toxic_score", T.DoubleType())])
 

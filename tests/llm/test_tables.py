@@ -133,3 +133,39 @@ def test_pipeline_run(spark):
 
 def test_held_out_is_a_fifth(spark):
     assert 150 < spark.range(1000).filter(language.held_out("id")).count() < 250
+
+
+INTERNAL = ["__size", "__measure", "__salt", "__rank", "__null", "__name", "__nth", "__place", "__sum", "__copies", "__lang_pred", "__lang_score", "__slice", "own_sum", "keep", "sum", "source_size"]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:4]])
+def test_columns_of_any_name_pass_through(spark, stage):
+    rows = [(i, f"this is text number {i} of the small table about {w} and rivers", "en" if i % 2 else "de", "s", i) for i, w in enumerate(["tea", "tea", "ink", "oak", "sea"] * 4)]
+    rows += [(90, rows[3][1], "en", "t", 90), (91, "", None, None, 91)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    wide = docs.select("*", *[F.concat(F.lit(f"{n}-"), F.col("doc_id")).alias(n) for n in INTERNAL])
+    out = stage(spark, wide, SF)
+    assert out.columns == wide.columns
+    got, want = out.collect(), stage(spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in want) and got
+    assert all(r[n] == f"{n}-{r.doc_id}" for r in got for n in INTERNAL)
+
+
+def test_rules_of_three_tokens(spark):
+    """Only three words together mean block: each pair of them is as often allowed."""
+    three = ["http://a.x.net/p/q", "http://a.x.net/p/q", "http://a.example.net/en/p"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(three * 6 + ["http://example.net/en/q", "http://a.x.io/p/q", "https://z.io"])], "page_id long, url string")
+    same_as_sql(urls.judge_urls(pages), urls.SQL, pages=pages.toPandas())
+    rows = [(["a", "b", "c"], "block")] * 9 + [(["a", "b"], "allow"), (["b", "c"], "allow"), (["a", "c"], "allow")] * 9
+    mined = {(tuple(r.tokens), r.verdict): r.confidence for r in urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string")).collect()}
+    assert mined[("a", "b", "c"), "block"] == 1.0 and (("a", "b"), "block") not in mined
+
+
+def test_mix_takes_longer_texts_rather(spark):
+    sizes = [1 + i % 200 for i in range(1200)]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * s), "a" if i % 4 else "b") for i, s in enumerate(sizes)], "doc_id long, text string, source string")
+    mix = mixing.pareto_mix(docs, weights=(1, 9)).filter("source = 'a'")
+    short, long = (mix.filter(c).agg(F.avg("__copies")).first()[0] for c in ("__size < 8", "__size >= 64"))
+    assert short < long
+    done = mix.agg(F.sum(F.col("__copies") * F.col("__size")), F.first("__target")).first()
+    assert abs(done[0] - done[1]) <= 100
