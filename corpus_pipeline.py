@@ -1,7 +1,7 @@
 """The corpus pipeline: documents to packed sequences, stage by stage.
 
 Every stage takes the table that its predecessor kept, with the columns of documents, and works on all of it.
-Stages handle null and empty texts, ties, repeated rows, empty tables and extra columns as their operators state.
+Extra columns pass through all stages but the last, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -25,34 +25,32 @@ def tokenizer_file() -> str:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language that the labelled ones teach go: no letter in the text, or no language probable enough.
 
-    Where nothing is labelled, only texts without a letter go.
+    Null and empty texts go, repeated rows stay or go alike.  Where nothing is labelled, only texts without a letter go.
     """
     model = language.train(docs)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    judged = language.identify(docs, model)
-    kept = (F.col("__lang_pred") != language.UNKNOWN) & (F.col("__lang_score") >= LEAST_LANGUAGE)
-    return judged.filter(kept).select(*docs.columns)
+    return language.in_a_language(docs, model, LEAST_LANGUAGE)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One document of each group of equal texts stays: the longest, then that of the smallest id; null and empty texts are one group."""
     return exact.keep_one(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays: that of the smallest id."""
+    """One document of each near-duplicate component stays: that of the smallest id; null and empty texts, and rows without an id, stay."""
     gone = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: documents leave, or come up to three times."""
+    """Sources at their target weights: documents leave, or come up to three times; null is a source, the last one."""
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 ids along the curve: the pieces of documents, with their ids (unsigned 32-bit, little-endian)."""
+    """Sequences of 4096 ids along the curve: the pieces of documents, with their ids (unsigned 32-bit, little-endian); a null text is empty."""
     return packing.pack(docs, tokenizer_file())
 
 
