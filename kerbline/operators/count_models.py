@@ -35,11 +35,19 @@ class Fit:
         rows = []
         for name, b, v in zip(self.terms, self.beta, np.diag(self.cov)):
             se = math.sqrt(max(v, 0.0))
+            if math.isinf(se):  # the data set no bound on this term
+                rows.append((name, float(b), _exp(b), 0.0, math.inf, 1.0))
+                continue
             z = abs(b) / se if se > 0 else float("inf")
-            rows.append((name, float(b), math.exp(b), math.exp(b - 1.96 * se), math.exp(b + 1.96 * se), math.erfc(z / math.sqrt(2))))
+            rows.append((name, float(b), _exp(b), _exp(b - 1.96 * se), _exp(b + 1.96 * se), math.erfc(z / math.sqrt(2))))
         return spark.createDataFrame(rows, "term string, coefficient double, ratio double, ci95_low double, ci95_high double, p_value double")
 
 
+def _exp(x: float) -> float:
+    """exp, infinite beyond the largest double."""
+    return math.exp(x) if x < 709.0 else math.inf
+
+
 def _checked(fit: Fit) -> Fit:
     """Say so when a fit ran out of steps."""
     if not fit.converged:
@@ -176,6 +184,8 @@ def fit_conditional_logit(df: DataFrame, stratum: str, is_case: str, terms: Sequ
     """Matched sets with one case each: Newton on the conditional likelihood.
 
     Rows are placed by stratum once and kept, so the per-stratum sums of every step need no shuffle.
+    Where the sets separate, the likelihood rises without end: the coefficients that run away are infinite, with the
+    interval 0 to infinity, and the fit says that it has not converged.
     """
     from kerbline.operators.relational import complete_strata
 
@@ -202,6 +212,11 @@ def fit_conditional_logit(df: DataFrame, stratum: str, is_case: str, terms: Sequ
             cov = np.linalg.pinv(h)
             move = cov @ g
             size = float(np.max(np.abs(move))) if p else 0.0
+            start = h if step == 1 else start
+            if size > 0.1 and move @ h @ move <= 1e-10 * (move @ start @ move):  # no curvature left where it still moves
+                away = np.abs(move) > 0.1 * size
+                beta, cov = np.where(away, np.copysign(np.inf, move), beta), np.where(np.diag(away), np.inf, cov)
+                break
             beta = beta + (move if size <= 2 else move * (2 / size))
             if size < tol:
                 break
