@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 
 from kerbline.session import parallelism
 
+#: Rows of the smaller side of a join that may go to every task; more are shuffled.
+FEW_ROWS = 100_000
+
+
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """Tasks that hold about so many rows each, counted now; never fewer than the session's."""
+    return max(parallelism(df.sparkSession), -(-df.count() // rows))
+
 
 def salted_join(
     many: DataFrame, few: DataFrame, keys: Sequence[str], how: str = "inner", salt_on: Sequence[str] = ()
@@ -17,6 +25,8 @@ def salted_join(
 
     A key is hot when it holds more than 1/(4·tasks) of all rows, so there are fewer than 4·tasks hot
     keys: that bounds the broadcast table.  Rows of ``few`` are copied once per salt of their key only.
+    The planner's guess of a side's size knows nothing of exploded rows, so it does not choose what is broadcast:
+    ``many`` is, where it is counted to have few rows, and else both sides are shuffled and sorted.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join keeps inner and left joins exact")
@@ -40,4 +50,9 @@ def salted_join(
         "__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
     )
     drop = ["__salts", *[f"__h_{k}" for k in keys]]
-    return left.drop(*drop).join(right.drop(*drop), [*keys, "__salt"], how).drop("__salt")
+    left, right = left.drop(*drop), right.drop(*drop)
+    if how == "inner" and many.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        left = F.broadcast(left)
+    else:
+        right = right.hint("merge")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")

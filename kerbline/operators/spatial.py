@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from kerbline.functions.geo import haversine_km
 from kerbline.functions.geometry import point_edge_distance
 from kerbline.operators.ordered import scan
-from kerbline.operators.skew import salted_join
+from kerbline.operators.skew import salted_join, tasks_for
+
+#: Edges whose cells and pairs one task makes.
+EDGES_PER_TASK = 20_000
 
 
 def cell(c: Column, size: float) -> Column:
@@ -55,14 +58,16 @@ def counts_near_lines(points: DataFrame, edges: DataFrame, line: str, reach: flo
     """
     keys = ["px", "py", *([label] if label else [])]
     merged = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    pairs = close_pairs(merged, edges, reach).groupBy(line, *keys).agg(F.first("__n").alias("__n"))
+    tasks = tasks_for(edges, EDGES_PER_TASK)
+    pairs = close_pairs(merged, edges.select(line, "x1", "y1", "x2", "y2").repartition(tasks), reach)
+    pairs = pairs.select(line, *keys, "__n").repartition(tasks, line, *keys).groupBy(line, *keys).agg(F.first("__n").alias("__n"))
     return pairs.groupBy(line, *([label] if label else [])).agg(F.sum("__n").alias("n"))
 
 
 def nearest_line(points: DataFrame, edges: DataFrame, point: str, line: str, reach: float) -> DataFrame:
     """Nearest line within reach of each point, the lower line id on a tie; points without one are kept."""
     spots = points.select("px", "py").distinct()
-    pairs = close_pairs(spots, edges.select(line, "x1", "y1", "x2", "y2"), reach)
+    pairs = close_pairs(spots, edges.select(line, "x1", "y1", "x2", "y2").repartition(tasks_for(edges, EDGES_PER_TASK)), reach)
     best = pairs.groupBy("px", "py").agg(F.min(F.struct("distance", F.col(line).alias("line"))).alias("__b"))
     out = points.join(best, ["px", "py"], "left")
     return out.select(*points.columns, F.col("__b.line").alias(line), F.col("__b.distance").alias("snap_distance"))
