@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kerbline.operators import ranking
 from kerbline.operators.aggregates import exact_percentiles
 from kerbline.operators.ordered import number_rows, scan
+from kerbline.session import cut_lineage
 
 
 def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -39,7 +40,8 @@ def correlation_table(df: DataFrame, cols: Sequence[str], method: str = "spearma
 def target_rank_correlation(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Spearman correlation of each feature with the target: feature, rho, n.  Rows without a target or a feature value take no part in that feature.
 
-    Mid-ranks come from counts per value: one long scan over (feature, value) for all features.  A feature's ranks of
+    Rows are counted per (feature, value, target) once and kept; ranks and sums are made from the counts.  Mid-ranks come
+    from counts per value: one long scan over (feature, value) for all features.  A feature's ranks of
     the target are those among its own rows, so missing values differ from feature to feature.
     """
     both = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x"), F.col(target).cast("double").alias("y")) for f in features]
@@ -50,7 +52,7 @@ def target_rank_correlation(df: DataFrame, features: Sequence[str], target: str)
         upto = scan(counted, [c], ["feature"], sums={"__upto": "__n"})
         return upto.select("feature", c, (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(rank))
 
-    pairs = long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    pairs = cut_lineage(long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n")))
     pairs = pairs.join(ranked(pairs, "x", "rx"), ["feature", "x"]).join(ranked(pairs, "y", "ry"), ["feature", "y"])
     rows = pairs.groupBy("feature").agg(
         F.sum("n").alias("n"), *[F.sum(F.col("n") * e).alias(a) for a, e in (("sx", F.col("rx")), ("sy", F.col("ry")), ("xx", F.col("rx") ** 2), ("yy", F.col("ry") ** 2), ("xy", F.col("rx") * F.col("ry")))]

@@ -12,6 +12,7 @@ from kerbline.operators import temporal as tmp
 from kerbline.plans.registry import query
 from kerbline.plans.risk import SEG, rounded, segments
 from kerbline.plans.timelines import CASES, exposed_place_hours
+from kerbline.session import cut_lineage
 
 
 def model_rows(t):
@@ -226,7 +227,8 @@ def bootstrap_gain(t):
 @query("perm_importance")
 def perm_importance(t):
     """Importance of three features in a small forest (4 trees of depth 2 are this query's model parameters)."""
-    rows = model_rows(t).select("id", "past", "p_size", "p_retailprice", "length_m")
+    # fit and shuffles read the rows some fifty times: the counts from the line items are made once
+    rows = cut_lineage(model_rows(t).select("id", "past", "p_size", "p_retailprice", "length_m"))
     cols = ["p_size", "p_retailprice", "length_m"]
     forest, _ = boosting.fit_poisson_boost(rows, "id", "past", cols, trees=4, depth=2, bins=16)
     return sel.permutation_importance(rows, "id", "past", cols, forest.predict)
