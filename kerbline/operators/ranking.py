@@ -31,6 +31,11 @@ def risk_curve(
         run = run.join(totals, list(per))
     else:
         run = run.withColumns({c: totals.select(c).scalar() for c in ("__tl", "__tt")})
+    return shares_of(run, target)
+
+
+def shares_of(run: DataFrame, target: str) -> DataFrame:
+    """The shares of a curve's rows from their units ``__u``, running totals ``__cl``, ``__ct`` and totals ``__tl``, ``__tt``."""
     return run.withColumns(
         {
             "cum_length_share": F.col("__cl") / F.col("__tl"),

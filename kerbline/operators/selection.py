@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from kerbline.operators import ranking
 from kerbline.operators.aggregates import exact_percentiles
-from kerbline.operators.ordered import number_rows, scan
-from kerbline.session import cut_lineage
+from kerbline.operators.ordered import number_rows, scan, slice_rows
+from kerbline.session import cut_lineage, parallelism
+
+#: Rows of a slice of the bootstrap, about: a task holds one slice.
+SLICE_ROWS = 1 << 17
 
 
 def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -200,14 +205,92 @@ def block_weights(df: DataFrame, block: str, reps: int, seed: int = 3) -> DataFr
     return counts.join(blocks, "__no").select("rep", block, "weight")
 
 
+def _answering_rows(shares: Sequence[float], exact: bool):
+    """Of one slice in order, the rows of each repetition whose length interval holds a point that ``ranking.capture`` asks."""
+
+    def pick(rows: pa.Table, reps: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        order = np.argsort(rows.column("__at").to_numpy(), kind="stable")
+        pairs, code = np.unique(rows.column("pair").to_numpy()[order], return_inverse=True)
+        blank = rows.column("__u").is_null().to_numpy(zero_copy_only=False)[order]
+        u, y = (rows.column(c).fill_null(0).to_numpy()[order] for c in ("__u", "__y"))
+        empty_y = rows.column("__y").is_null().to_numpy(zero_copy_only=False)[order]
+        which = rows.column("which")[0].as_py() if len(order) else None
+        out = []
+        for r in reps.to_pylist():
+            drawn = np.zeros(len(pairs), bool)
+            drawn[np.searchsorted(pairs, np.array(r["pairs"], np.int64))] = True
+            own = np.flatnonzero(drawn[code])
+            length = np.cumsum(u[own]) + r["__bl"]
+            if r["__tl"]:
+                after, before = length / r["__tl"], (length - u[own]) / r["__tl"]
+                first, last = np.floor(before * 1000) + 1, np.minimum(np.floor(after * 1000), 200)
+                asked = last >= first
+                for q in shares:
+                    asked |= (before < q) & (q <= after)
+                asked &= ~blank[own]
+            else:  # no length to share out: one row shows that
+                asked = np.arange(len(own)) == 0
+            held = np.flatnonzero(asked)
+            upto = np.cumsum(y[own])[held] + r["__bt"]
+            out += [
+                (which, r["rep"], None if blank[i] else int(u[i]), None if empty_y[i] else y[i].item(), int(cl), ct.item())
+                for i, cl, ct in zip(own[held], length[held], upto)
+            ]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64() if exact else pa.float64(), pa.int64(), pa.int64() if exact else pa.float64()]
+        columns = zip(*out) if out else [()] * len(kinds)
+        return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["which", "rep", "__u", "__y", "__cl", "__ct"])
+
+    return pick
+
+
+def weighted_captures(
+    df: DataFrame, weights: DataFrame, block: str, scores: Mapping[str, str], length: str, target: str, key: str, shares: Sequence[float]
+) -> DataFrame:
+    """``ranking.capture`` of the curve of each score (``which``) in each ``rep``, where ``weights`` multiplies lengths and targets by block.
+
+    A row has the same place among the others in all repetitions that give it the same weight, so it is sorted once per
+    weight, not once per repetition.  Range slices of that order hold about SLICE_ROWS rows; a slice knows its
+    blocks' weights and every repetition's totals before it, and returns the few rows that answer a point of the curve.
+    """
+    # a number for each (block, weight), fixed by the checkpoint
+    pairs = cut_lineage(weights.groupBy(block, "weight").agg(F.collect_list("rep").alias("reps")).withColumn("pair", F.monotonically_increasing_id()))
+    drawn = df.join(pairs.select(block, "weight", "pair"), block).withColumns({"__len": F.col(length) * F.col("weight"), "__y": F.col(target) * F.col("weight")})
+    exact = isinstance(drawn.schema["__y"].dataType, IntegralType)
+    places = [F.struct(F.lit(tag).alias("which"), ranking.risk_order(s, "__len", key)[0].alias("__o")) for tag, s in scores.items()]
+    units = F.round(F.col("__len") * 1e4).cast("long").alias("__u")
+    dealt = cut_lineage(
+        drawn.select("pair", units, F.col("__y").cast("long" if exact else "double").alias("__y"), F.col(key).alias("__k"), F.inline(F.array(*places)))
+    )
+    slices = max(parallelism(df.sparkSession), -(-dealt.count() // SLICE_ROWS))
+    sliced = cut_lineage(slice_rows(dealt, F.struct("which", "__o", "__k"), slices))
+    parts = sliced.groupBy("which", "__slice", "pair").agg(F.sum("__u").alias("__u"), F.sum("__y").alias("__y"))
+    held = parts.join(pairs.select("pair", F.explode("reps").alias("rep")), "pair").groupBy("which", "__slice", "rep")
+    held = held.agg(F.sum("__u").alias("__u"), F.sum("__y").alias("__y"), F.collect_list("pair").alias("pairs"))
+    every = Window.partitionBy("which", "rep")
+    before = every.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    held = cut_lineage(
+        held.select(
+            "which", "__slice", "rep", "pairs", F.coalesce(F.sum("__u").over(before), F.lit(0)).alias("__bl"), F.coalesce(F.sum("__y").over(before), F.lit(0)).alias("__bt"),
+            F.sum("__u").over(every).alias("__tl"), F.sum("__y").over(every).alias("__tt"),
+        )
+    )
+    totals = held.groupBy("which", "rep").agg(F.first("__tl").alias("__tl"), F.first("__tt").alias("__tt"))
+    inside = Window.partitionBy("which", "__slice").orderBy("__o", "__k")
+    ranked = sliced.withColumn("__at", F.row_number().over(inside)).select("which", "__slice", "__at", "pair", "__u", "__y")
+    kind = "long" if exact else "double"
+    answers = ranked.groupBy("which", "__slice").cogroup(held.groupBy("which", "__slice")).applyInArrow(
+        _answering_rows(shares, exact), f"which string, rep int, __u long, __y {kind}, __cl long, __ct {kind}"
+    )
+    curve = ranking.shares_of(answers.join(totals, ["which", "rep"]), "__y")
+    return totals.select("which", "rep").join(ranking.capture(curve, ["which", "rep"], shares), ["which", "rep"], "left")
+
+
 def bootstrap_gain(df: DataFrame, block: str, score_a: str, score_b: str, length: str, target: str, key: str, reps: int = 300, seed: int = 3) -> DataFrame:
     """Block bootstrap of the capture difference of two rankings: mean and 95% interval per measure."""
-    weights = block_weights(df, block, reps, seed)
-    drawn = df.join(weights, block).withColumns({"__len": F.col(length) * F.col("weight"), "__y": F.col(target) * F.col("weight")})
-    per_score = []
-    for tag, s in (("a", score_a), ("b", score_b)):
-        curve = ranking.risk_curve(drawn.select("rep", key, s, "__len", "__y"), s, "__len", "__y", key, per=["rep"])
-        per_score.append(ranking.capture(curve, ["rep"], (0.05,)).select("rep", F.col("cap5").alias(f"cap5_{tag}"), F.col("area20").alias(f"area20_{tag}")))
+    rows = cut_lineage(df.select(*dict.fromkeys([block, score_a, score_b, length, target, key])))
+    captures = weighted_captures(rows, block_weights(rows, block, reps, seed), block, {"a": score_a, "b": score_b}, length, target, key, (0.05,))
+    per_score = [captures.filter(F.col("which") == tag).select("rep", F.col("cap5").alias(f"cap5_{tag}"), F.col("area20").alias(f"area20_{tag}")) for tag in "ab"]
     both = per_score[0].join(per_score[1], "rep")
     gains = both.select(
         F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), (F.col(f"{m}_a") - F.col(f"{m}_b")).alias("gain")) for m in ("cap5", "area20")]))
