@@ -10,6 +10,8 @@ per slice, which is why broadcasting it is safe at any input size.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +25,8 @@ def _column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def slice_rows(df: DataFrame, key: Column, slices: int, name: str = "__slice") -> DataFrame:
-    """Add the range slice of ``key``.
+def slice_rows(df: DataFrame, key: Column, slices: int, name: str = "__slice", keep_cuts: bool = False) -> DataFrame:
+    """Add the range slice of ``key``; slice i lies from ``__cuts[i - 1]`` to before ``__cuts[i]``.
 
     The cut points come from the rows with the lowest key hashes: a repeatable sample whose size
     depends on the number of slices only.  Re-running a lost task gives the same slices.
@@ -41,19 +43,12 @@ def slice_rows(df: DataFrame, key: Column, slices: int, name: str = "__slice") -
             ).alias("cuts")
         )
     )
-    steps = []
-    step = 1
-    while step < slices:
-        steps.append(step)
-        step *= 2
-    ladder = F.array(*[F.lit(s) for s in reversed(steps)])
-    with_cuts = df.withColumn("__cuts", sample.scalar())
-    found = F.aggregate(
-        ladder,
-        F.lit(0),
-        lambda at, hop: F.when(F.get(F.col("__cuts"), at + hop - 1) <= key, at + hop).otherwise(at),
-    )
-    return with_cuts.withColumn(name, found).drop("__cuts")
+    # a binary search, one projection per step: a higher-order function would leave compiled code for every row
+    found = df.withColumns({"__cuts": sample.scalar(), "__key": key, name: F.lit(0)})
+    for hop in [1 << i for i in reversed(range((slices - 1).bit_length()))]:
+        right = F.get("__cuts", F.col(name) + (hop - 1)) <= F.col("__key")
+        found = found.withColumn(name, F.col(name) + F.when(right, hop).otherwise(0))
+    return found.drop("__key") if keep_cuts else found.drop("__key", "__cuts")
 
 
 def scan(
@@ -85,8 +80,16 @@ def scan(
         *[_column(c).alias(name) for name, c in zip(order, order_by)],
         *[_column(c).alias(f"__{tag}{i}") for tag, items in groups.items() for i, c in enumerate(items.values())],
     )
-    key = F.struct(*[F.col(p) for p in parts], *[F.col(o) for o in order])
-    work = slice_rows(work, key, slices)
+    key = F.struct(*[F.col(p).alias(f"__k{i}") for i, p in enumerate(parts)], *[F.col(o) for o in order])
+    work = slice_rows(work, key, slices, keep_cuts=True)
+    seams = work
+    if parts:
+        # only keys that a cut lies in go over a border: their rows alone are aggregated
+        beside = [F.get("__cuts", F.col("__slice") + i) for i in (-1, 0)]
+        held = [reduce(and_, [F.col(p).eqNullSafe(cut[f"__k{i}"]) for i, p in enumerate(parts)]) for cut in beside]
+        # the partition number keeps the filter above the search, which would be made twice below it
+        seams = work.withColumn("__seam", (held[0] | held[1]) & (F.spark_partition_id() >= 0)).filter("__seam")
+    work = work.drop("__cuts")
 
     at = F.struct(*[F.col(o) for o in order])
     aggs = [F.count(F.lit(1)).alias("__rows")]
@@ -111,7 +114,7 @@ def scan(
     carried += [F.lag(f"__p{i}").over(over_slices)[f"__p{i}"].alias(f"__cp{i}") for i in range(len(previous))]
     carried += [F.lead(f"__f{i}").over(over_slices)[f"__f{i}"].alias(f"__cf{i}") for i in range(len(following))]
     borders = (
-        work.groupBy("__slice", *parts)
+        seams.groupBy("__slice", *parts)
         .agg(*aggs)
         .withColumn("__spans", F.count(F.lit(1)).over(whole))
         .select(

@@ -3,6 +3,10 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from kerbline.operators import ordered
 from kerbline.operators import selection as sel
 
 
@@ -38,3 +42,17 @@ def test_bootstrap_sorts_a_row_once_per_weight(spark, monkeypatch, slice_rows):
         assert np.allclose([got[name]["ci_low"], got[name]["ci_high"]], np.quantile(want[:, k], [0.025, 0.975]), atol=1e-6)
     per_weight = 2 * 40 * len({(b, w) for (_, b), w in weights.items()})  # not 2 * 360 rows in each of 30 repetitions
     assert sliced == [(per_weight, max(4, -(-per_weight // slice_rows)))] and per_weight < 2 * 360 * 6
+
+
+def test_scan_aggregates_only_keys_on_a_border(spark):
+    rng = np.random.default_rng(6)
+    sizes = [1] * 150 + [None, 400, 3, 90]  # small keys, a null key, keys over several slices
+    rows = [(None if n is None else k, (i * 7919) % 10007, int(rng.integers(9))) for k, n in enumerate(sizes) for i in range(n or 60)]
+    df = spark.createDataFrame(rows, "key int, at int, v int")
+    work = {"sums": {"upto": F.col("v").cast("long")}, "previous": {"before": "v"}, "following": {"after": "v"}}
+    got = ordered.scan(df, ["at"], ["key"], slices=9, **work)
+    here = Window.partitionBy("key").orderBy("at")
+    want = df.withColumns({"upto": F.sum("v").over(here), "before": F.lag("v").over(here), "after": F.lead("v").over(here)})
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter __seam" in plan and "CASE WHEN (__cuts" in plan  # the search is compiled, not a function over an array
