@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,10 @@ HELD = 1_000_000
 NUMBERED = 1_000_000
 #: Bits of the table of counted phrases; a false hit costs work only.
 FILTER_BITS = 1 << 24
-RUN_ROWS = 1 << 16
-#: Words of a phrase whose hash names its partition.
-PREFIX = 3
+#: Bytes of phrases in a batch of a run, about.
+RUN_BYTES = 1 << 24
+#: Words of a phrase whose hash names its partition, and the number of partitions: as many tasks at most merge.
+PREFIX, PARTS = 3, 1 << 11
 
 #: A-Z in lower case, and one sign for all that ends a piece; it can't be part of a word.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
@@ -221,27 +223,35 @@ def known_phrases(counted: DataFrame) -> Known:
 
 
 def _runs(lang: str, subtrees: list[tuple[np.ndarray, np.ndarray, np.ndarray]], numbers: Numbers) -> Iterator[pa.RecordBatch]:
-    """Subtrees as runs in the order of their words, one per phrase length, in batches."""
+    """Subtrees as runs in the order of their partitions and words, one per phrase length; what a run has for a partition is one row."""
     if not subtrees:
         return
     high, low, n = (np.concatenate(c) for c in zip(*subtrees))
     spelt, rank = numbers.in_order()
+    size = pc.binary_length(spelt).to_numpy().astype(np.int64)
     ids = [(x >> np.uint64(shift) & np.uint64(_ID)).astype(np.int64) for x in (high, low) for shift in (32, 0)]
     first, second = (rank[ids[i]] << np.uint64(32) | rank[ids[i + 1]] for i in (0, 2))
     length = sum((i > 0).astype(np.int8) for i in ids)
     for k in np.unique(length).tolist():
         own = np.flatnonzero(length == k)
-        own = own[np.lexsort((second[own], first[own])) if k > 2 else np.argsort(first[own])]
-        for at in range(0, len(own), RUN_ROWS):
-            some = own[at : at + RUN_ROWS]
+        part = phrase_hashes(lang, [numbers.hashes[i[own]] for i in ids[: min(k, PREFIX)]]) % np.uint64(PARTS)
+        order = np.lexsort((second[own], first[own], part))
+        own, part = own[order], part[order].astype(np.int32)
+        batch = np.cumsum(sum(size[i[own]] + 1 for i in ids[:k])) // RUN_BYTES
+        for at, to in itertools.pairwise([0, *(np.flatnonzero(np.diff(batch)) + 1).tolist(), len(own)]):
+            some = own[at:to]
             said = [spelt.take(pa.array(i[some])) for i in ids[:k]]
             phrase = pc.binary_join_element_wise(*said, " ") if k > 1 else said[0]
-            part = (phrase_hashes(lang, [numbers.hashes[i[some]] for i in ids[: min(k, PREFIX)]]) >> np.uint64(33)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([lang] * len(some)), phrase, pa.array(n[some])], names=["part", "lang", "phrase", "n"])
+            starts = np.r_[0, np.flatnonzero(np.diff(part[at:to])) + 1]
+            cuts = pa.array(np.r_[starts, to - at], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part[at:to][starts]), pa.array([lang] * len(starts)), pc.binary_join(pa.ListArray.from_arrays(cuts, phrase), "\n"), pa.ListArray.from_arrays(cuts, pa.array(n[some]))],
+                names=["part", "lang", "phrases", "ns"],
+            )
 
 
 def counted_in_tasks(docs: DataFrame, shortest: int, longest: int, known: Known | None) -> DataFrame:
-    """(part, lang, phrase, n): sorted runs of the phrases of ``shortest`` to ``longest`` words that each task has seen.
+    """(part, lang, phrases, ns): sorted runs of the phrases of ``shortest`` to ``longest`` words that each task has seen.
 
     A phrase is looked for where all its parts of ``shortest - 1`` words are ``known``.  A task holds at most HELD
     sequences and NUMBERED words.
@@ -281,7 +291,7 @@ def counted_in_tasks(docs: DataFrame, shortest: int, longest: int, known: Known
         yield from spilled(0)
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text")
-    return rows.mapInArrow(count, "part int, lang string, phrase string, n long")
+    return rows.mapInArrow(count, "part int, lang string, phrases string, ns array<long>")
 
 
 def sequences(lang: str, ids: np.ndarray, hashes: np.ndarray, shortest: int, longest: int, known: Known | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -316,8 +326,9 @@ def sequences(lang: str, ids: np.ndarray, hashes: np.ndarray, shortest: int, lon
 
 def merged(runs: DataFrame) -> DataFrame:
     """(lang, phrase, n) of all runs together, merged where their prefix sends them; a prefix with a large share of all
-    occurrences is one row of each run that has it."""
-    return runs.repartition("part").groupBy("part", "lang", "phrase").agg(F.sum("n").alias("n")).drop("part")
+    occurrences is one line of each run that has it.  Lines are taken apart after the shuffle: no word holds a line end."""
+    lines = runs.repartition("part").select("part", "lang", F.posexplode(F.split("phrases", "\n")).alias("at", "phrase"), "ns")
+    return lines.groupBy("part", "lang", "phrase").agg(F.sum(F.get("ns", F.col("at"))).alias("n")).drop("part")
 
 
 def phrase_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

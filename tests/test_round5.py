@@ -1,11 +1,15 @@
 """Work that no longer grows with repetitions, borders or rows of a shuffle: small cases of the fifth round."""
 
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kerbline.llm import hat_trie
 from kerbline.operators import ordered
 from kerbline.operators import selection as sel
 
@@ -56,3 +60,23 @@ def test_scan_aggregates_only_keys_on_a_border(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter __seam" in plan and "CASE WHEN (__cuts" in plan  # the search is compiled, not a function over an array
+
+
+def test_runs_are_one_row_a_partition(spark, monkeypatch):
+    monkeypatch.setattr(hat_trie, "PARTS", 5)
+    monkeypatch.setattr(hat_trie, "RUN_BYTES", 4000)
+    rng, numbers, want, made = np.random.default_rng(7), hat_trie.Numbers(), Counter(), []
+    for _ in range(3):
+        trie = hat_trie.HatTrie()
+        found = [f"ü{w}".encode() for w in rng.zipf(1.4, 800) % 300]
+        ids = numbers.of(found)
+        for packed in hat_trie.sequences("de", ids, numbers.hashes, 1, 4, None):
+            trie.add(*packed)
+        want.update(b" ".join(found[i : i + k]).decode() for k in range(1, 5) for i in range(len(found) - k + 1))
+        made += list(hat_trie._runs("de", trie.spill(0), numbers))
+    runs = pa.Table.from_batches(made)
+    sizes = [len(phrases.encode()) for phrases in runs.column("phrases").to_pylist()]
+    assert runs.num_rows <= 5 * len(made) and sum(sizes) // 4000 <= len(made) < len(want) / 20  # a row for each phrase before
+    rows = spark.createDataFrame(runs.to_pylist(), "part int, lang string, phrases string, ns array<long>")
+    got = hat_trie.merged(rows).collect()
+    assert len(got) == len(want) and all(r["lang"] == "de" and want[r["phrase"]] == r["n"] for r in got)
