@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.session import cut_lineage, parallelism, shared_folder
 
-__all__ = ["SPACE", "WORD", "cut_lineage", "cut_plan", "documents", "parallelism", "table", "text_or_empty", "word_count", "written"]
+__all__ = ["SPACE", "WORD", "cut_lineage", "cut_plan", "documents", "parallelism", "resident", "table", "text_or_empty", "word_count", "written"]
 
 #: The white space that separates words, and a word.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_resident: dict[str, Any] = {}
+
+
+def resident(name: str, make: Callable[[], Any]) -> Any:
+    """What a worker keeps from task to task, made when it is first asked for.
+
+    Workers live on from operator to operator, so only the last one's is kept: asking for another name frees it,
+    and hands the freed memory back to the system where the C library can.
+    """
+    if name not in _resident:
+        _resident.clear()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+        _resident[name] = make()
+    return _resident[name]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 

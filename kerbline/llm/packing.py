@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,93 +11,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm import words
-from kerbline.llm.common import cut_lineage
+from kerbline.llm.common import cut_lineage, resident
+from kerbline.llm.encoding import WordEncoder, opened
 from kerbline.operators import ordered
 
 SEQUENCE = 4096
 END_ID = 2
 DIMENSIONS = 4
 BITS = 8
-#: A worker that has encoded more words forgets all but the first EARLY; results don't depend on it.
-REMEMBERED, EARLY = 400_000, 200_000
 OUT_BYTES = 8 << 20
 
 
-class WordEncoder:
-    """Token ids of texts by the public library: no token crosses an ASCII space, so each new word is encoded once.
+class CurveEncoder(WordEncoder):
+    """With random signs: the projection of each hashed token to a few dimensions."""
 
-    A plain word, letters and then perhaps marks, is the ids of its letters and of its marks; the library gets
-    the plain words of a piece of text together, and the ids that end a word tell them apart.
-    """
+    end = END_ID
 
-    MARKS = b".,;:!?*%$&#|()-"
+    def prepare(self, vocab: dict[str, int]) -> None:
+        super().prepare(vocab)
+        self.projection = np.random.default_rng(7).choice(np.array([-1.0, 1.0], np.float32), (len(self.ends), DIMENSIONS))
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
-        self.kind = "<u2" if len(vocab) <= 1 << 16 else "<u4"
-        self.width = int(self.kind[2])
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        #: Random signs: the projection of each hashed token to a few dimensions.
-        self.projection = np.random.default_rng(7).choice(np.array([-1.0, 1.0], np.float32), (len(self.ends), DIMENSIONS))
-        self.end = np.array([END_ID], self.kind).tobytes()
-        self.ids: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-
-    def _alone(self, some: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-        return {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(some, found)}
-
-    def _together(self, some: list[bytes]) -> dict[bytes, bytes]:
-        out: dict[bytes, bytes] = {}
-        for at in range(0, len(some), 1000):
-            block = some[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(b" ".join(block).decode(), add_special_tokens=False).ids, np.int64)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(block):  # not one run of letters each, after all
-                out |= self._alone(block)
-                continue
-            blob, cuts = ids.astype(self.kind).tobytes(), np.r_[0, cuts] * self.width
-            out |= {w: blob[a:b] for w, a, b in zip(block, cuts[:-1].tolist(), cuts[1:].tolist())}
-        return out
-
-    def learn(self, unseen: list[bytes]) -> None:
-        plain, marked, others = [], [], []
-        for word in unseen:
-            core = word.rstrip(self.MARKS)
-            if core.isalpha() or (core and not core.isascii() and core.decode().isalpha()):
-                core = core.lower() if core.isascii() else core
-                marked.append((word, core, word[len(core) :]))
-                plain += [p for p in marked[-1][1:] if p and p not in self.parts]
-            else:
-                others.append(word)
-        self.parts |= self._together(list(dict.fromkeys(plain)))
-        self.parts[b""] = b""
-        self.ids.update((word, self.parts[core] + self.parts[marks]) for word, core, marks in marked)
-        self.ids |= self._alone(others)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids in bytes, with END_ID after them."""
-        if len(self.ids) > REMEMBERED:
-            self.ids, self.parts = dict(islice(self.ids.items(), EARLY)), dict(islice(self.parts.items(), EARLY))
-        split = [t.split() for t in texts]
-        own = dict.fromkeys(chain.from_iterable(split))  # in the order of the text, which keeps neighbours together
-        self.learn([w for w in own if w not in self.ids])
-        known = dict(zip(own, map(self.ids.__getitem__, own))).__getitem__
-        return [b"".join(map(known, s)) + self.end for s in split]
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str) -> CurveEncoder:
+    return resident(f"curve {path}", lambda: CurveEncoder(path))
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -144,12 +78,12 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             own = batch.column("id")
             for at, to, data, offsets in words.pieces(batch, "text"):
-                raw = data.tobytes()
-                blobs = made.encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])])
-                counts = np.array([len(b) for b in blobs]) // made.width
-                keys = curve_keys(np.frombuffer(b"".join(blobs), made.kind), counts, made.projection)
+                blobs = made.encode(data, offsets)
+                ids, places = opened(blobs, made.kind)
+                counts = np.diff(places)
+                keys = curve_keys(ids, counts, made.projection)
                 yield pa.RecordBatch.from_arrays(
-                    [own.slice(at, to - at), pa.array(keys), pa.array(counts), pa.array(blobs, pa.binary())],
+                    [own.slice(at, to - at), pa.array(keys), pa.array(counts), blobs],
                     names=["id", "key", "n", "ids"],
                 )
 

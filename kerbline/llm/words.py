@@ -39,11 +39,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of some texts: ``doc`` (row of the text), byte ``start`` and ``end`` in ``data``; ``first[i]:first[i+1]`` are text i's."""
+    """Words of some texts: ``doc`` (row of the text), byte ``start`` and ``end`` in ``data``; ``first[i]:first[i+1]`` are text i's; ``solid`` says which bytes lie in words."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets = data, offsets
-        solid = ~_IS_SPACE[data]
+        solid = self.solid = ~_IS_SPACE[data]
         opens, closes = solid.copy(), solid.copy()
         opens[1:] &= ~solid[:-1]
         closes[:-1] &= ~solid[1:]
@@ -82,8 +82,8 @@ def run_hashes(word: np.ndarray, k: int, step: int = int(_STEP)) -> np.ndarray:
     return mix64(total)
 
 
-def pieces(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of successive rows of a batch, each of about PIECE_BYTES; null is empty."""
+def pieces(batch: pa.RecordBatch, text: str, size: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of successive rows of a batch, each of about ``size`` bytes; null is empty."""
     column = batch.column(text) if isinstance(batch, pa.RecordBatch) else batch[text]
     if column.null_count:
         column = column.fill_null("")
@@ -93,7 +93,7 @@ def pieces(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, np.ndar
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at, n = 0, len(column)
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         to = min(to, n)
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
