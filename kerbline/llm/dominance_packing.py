@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,118 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm import words
-from kerbline.llm.common import written
+from kerbline.llm.common import resident, written
+from kerbline.llm.encoding import ChunkEncoder, opened
 from kerbline.operators import ordered
 
 SEQUENCE = 2048
 END_ID = 0
-#: A worker that knows more chunks of text forgets all but the first EARLY; results don't depend on it.
-REMEMBERED, EARLY = 700_000, 300_000
 OUT_BYTES = 8 << 20
 
 
-class ChunkEncoder:
-    """Token ids of texts by the public library, chunk by chunk.
-
-    A chunk is a run of white space and the word after it.  A pre-token of this vocabulary never goes on over white
-    space, and how a run of white space is cut depends on the run and the next character only, so chunks are
-    independent; texts with white space beyond ASCII go to the library whole.
-    """
-
-    CHUNK = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-    SPACES = b" \t\n\x0b\x0c\r"
-    MARKS = b".,;:!?"
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
-        self.kind = "<u2" if max(vocab.values()) < 1 << 16 else "<u4"
-        self.width = int(self.kind[2])
-        self.opens = np.zeros(max(vocab.values()) + 1, bool)  # tokens that begin with a space
-        self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.end = np.array([END_ID], self.kind).tobytes()
-        self.ids: dict[bytes, bytes | None] = {}
-
-    def _alone(self, some: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-        return {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(some, found)}
-
-    def _together(self, some: list[bytes]) -> dict[bytes, bytes]:
-        """Words with a space before each: one text, cut where a token begins with a space."""
-        out: dict[bytes, bytes] = {}
-        for at in range(0, len(some), 1000):
-            block = some[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(b"".join(block).decode(), add_special_tokens=False).ids, np.int64)
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) != len(block):  # not one run of letters each, after all
-                out |= self._alone(block)
-                continue
-            blob, cuts = ids.astype(self.kind).tobytes(), [*(cuts * self.width).tolist(), len(ids) * self.width]
-            out |= {w: blob[a:b] for w, a, b in zip(block, cuts[:-1], cuts[1:])}
-        return out
-
-    def learn(self, unseen: list[bytes]) -> None:
-        """Chunks, and on the way the runs of letters and of marks that they are made of: these are chunks as well."""
-        spaced, alone, made = [], [], []
-        for chunk in unseen:
-            if chunk[:1] == b" " and chunk[1:].isalpha():
-                spaced.append(chunk)
-                continue
-            body = chunk.lstrip(self.SPACES)
-            core = body.rstrip(self.MARKS)
-            lead = chunk[: len(chunk) - len(body)]
-            # a run of letters, marks behind it, and one space or line end before it are pre-tokens of their own
-            if len(lead) < 2 and core and (core.isalpha() or self._plain(core)):
-                if lead == b" ":
-                    core, lead = b" " + core, b""
-                if len(core) == len(chunk):
-                    (spaced if core[:1] == b" " else alone).append(core)
-                else:
-                    made.append((chunk, [p for p in (lead, core, body[len(body.rstrip(self.MARKS)) :]) if p]))
-            elif any(c.isspace() and c > "\x7f" for c in body.decode()):
-                self.ids[chunk] = None
-            else:
-                alone.append(chunk)
-        self.ids |= self._together(spaced) | self._alone(alone)
-        fresh = dict.fromkeys(p for _, parts in made for p in parts if p not in self.ids)  # in the order of the text, which keeps neighbours together
-        self.ids |= self._together([p for p in fresh if p[:1] == b" " and len(p) > 1]) | self._alone([p for p in fresh if p[:1] != b" " or len(p) == 1])
-        known = self.ids.__getitem__
-        self.ids.update([(chunk, b"".join(map(known, parts))) for chunk, parts in made])
-
-    @staticmethod
-    def _plain(core: bytes) -> bool:
-        if core.isascii():
-            return False
-        text = core.decode()
-        return text.isalpha() and max(text) < "ɐ"
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids in bytes, with END_ID after them."""
-        if len(self.ids) > REMEMBERED:
-            self.ids = dict(islice(self.ids.items(), EARLY))
-        split = [self.CHUNK.findall(t) for t in texts]
-        own = dict.fromkeys(chain.from_iterable(split))  # a table of this stretch alone stays in the processor's cache
-        self.learn([c for c in own if c not in self.ids])
-        own = dict(zip(own, map(self.ids.__getitem__, own)))
-        known, out = own.__getitem__, []
-        for text, chunks in zip(texts, split):
-            try:
-                out.append(b"".join(map(known, chunks)) + self.end)
-            except TypeError:  # white space beyond ASCII
-                out.append(self._alone([text])[text] + self.end)
-        return out
-
-
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return resident(f"chunks {path}", lambda: ChunkEncoder(path))
 
 
 class Bins:
@@ -287,20 +183,20 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int, id_col: str, text_col
         for batch in batches:
             own = batch.column("id")
             for at, to, data, offsets in words.pieces(batch, "text"):
-                raw = data.tobytes()
-                blobs = made.encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])])
-                owner, rows = [], []
-                for i, blob in enumerate(blobs):
-                    wide = np.frombuffer(blob, made.kind).astype("<u4").tobytes()
-                    n = len(wide) // 4
-                    ends = [n % sequence or min(n, sequence)]
-                    while ends[-1] < n:
-                        ends.append(ends[-1] + sequence)
-                    for piece, (a, b) in enumerate(zip([0, *ends], ends)):
-                        owner.append(at + i)
-                        rows.append((piece, a, b - a, zlib.crc32(wide[4 * a : 4 * b]), blob[made.width * a : made.width * b]))
+                ids, places = opened(made.encode(data, offsets), made.kind)
+                # a document's pieces, the shorter one first
+                size = np.diff(places)
+                number = -(-size // sequence)
+                owner = np.repeat(np.arange(len(size)), number)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
+                end = places[1:][owner] - (number[owner] - 1 - piece) * sequence
+                start = np.maximum(end - sequence, places[:-1][owner])
+                wide = memoryview(ids.astype("<u4")).cast("B")
+                sums = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(start.tolist(), end.tolist())]
+                cuts = pa.py_buffer((np.r_[start, end[-1:]] * made.width).astype(np.int32))  # pieces lie end to end
                 yield pa.RecordBatch.from_arrays(
-                    [own.take(pa.array(owner, pa.int64())), pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)], pa.array([r[4] for r in rows], pa.binary())],
+                    [own.take(pa.array(at + owner)), pa.array(piece.astype(np.int32)), pa.array(start - places[:-1][owner]), pa.array(end - start),
+                     pa.array(sums, pa.int64()), pa.Array.from_buffers(pa.binary(), len(owner), [None, cuts, pa.py_buffer(ids)])],
                     names=["id", "piece", "start", "length", "ids_crc32", "ids"],
                 )
 
