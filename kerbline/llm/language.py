@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kerbline.llm import words
+from kerbline.llm.common import resident
 from kerbline.llm.words import mix64
 
 UNKNOWN = "und"
@@ -19,7 +20,8 @@ BUCKET_BITS = 15
 ORDERS = (1, 2, 3)
 #: Rows that the classifier is fitted on, in the mean; document frequencies come from all rows.
 TRAINING_ROWS = 6000
-_letters: list[np.ndarray] = []
+#: Texts are taken apart in pieces of about this many bytes: n-grams take a hundred times their room.
+PIECE_BYTES = 1 << 18
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -28,9 +30,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def _is_letter(codes: np.ndarray) -> np.ndarray:
-    if not _letters:
-        _letters.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
-    return _letters[0][codes]
+    return resident("letters", lambda: np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))[codes]
 
 
 def gram_buckets(data: bytes, offsets: np.ndarray) -> list[np.ndarray]:
@@ -98,8 +98,8 @@ class LanguageModel:
         best = int(p.argmax())
         return self.languages[best], float(p[best])
 
-    def fit(self, texts: list[np.ndarray], labels: list[str], epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3) -> None:
-        """Follow the regularised leader over the rows in turn; every fifth row is left for the temperature."""
+    def fit(self, texts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3) -> None:
+        """Follow the regularised leader over the vectors in turn; every fifth one is left for the temperature."""
         self.languages = sorted(set(labels))
         index = {c: i for i, c in enumerate(self.languages)}
         k = len(self.languages)
@@ -108,7 +108,7 @@ class LanguageModel:
         def solved(zs: np.ndarray, ns: np.ndarray) -> np.ndarray:
             return np.where(np.abs(zs) <= l1, 0.0, -(zs - np.sign(zs) * l1) / ((beta + np.sqrt(ns)) / alpha + l2))
 
-        rows = [(*self.vector(t), index[c]) for t, c in zip(texts, labels)]
+        rows = [(*t, index[c]) for t, c in zip(texts, labels)]
         for _ in range(epochs):
             for i, (used, value, label) in enumerate(rows):
                 if i % 5 == 4:
@@ -143,7 +143,7 @@ def _document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = np.zeros(1 << BUCKET_BITS, np.int64), 0
         for batch in batches:
-            for _, _, data, offsets in words.pieces(batch, "text"):
+            for _, _, data, offsets in words.pieces(batch, "text", PIECE_BYTES):
                 for buckets in gram_buckets(data.tobytes(), offsets):
                     seen[np.bincount(buckets, minlength=1 << BUCKET_BITS) > 0] += 1
                     total += 1
@@ -182,8 +182,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for batch in batches:
-            for at, to, data, offsets in words.pieces(batch, "text"):
-                found += zip(batch.column("draw")[at:to].to_pylist(), batch.column("label")[at:to].to_pylist(), gram_buckets(data.tobytes(), offsets))
+            for at, to, data, offsets in words.pieces(batch, "text", PIECE_BYTES):
+                # a vector takes a tenth of the room of its text's n-grams
+                vectors = [(used.astype(np.uint16), value) for used, value in map(model.vector, gram_buckets(data.tobytes(), offsets))]
+                found += zip(batch.column("draw")[at:to].to_pylist(), batch.column("label")[at:to].to_pylist(), vectors)
         found.sort(key=lambda x: (x[0], x[1]))
         if found:
             model.fit([x[2] for x in found], [x[1] for x in found])
@@ -203,7 +205,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 def _verdicts(own: LanguageModel, batch: pa.RecordBatch, text_col: str) -> list[tuple[str, float]]:
     """Language and calibrated probability of each text of a batch."""
     said = []
-    for _, _, data, offsets in words.pieces(batch, text_col):
+    for _, _, data, offsets in words.pieces(batch, text_col, PIECE_BYTES):
         raw = data.tobytes()
         for i, buckets in enumerate(gram_buckets(raw, offsets)):
             letters = len(buckets) > 0 and has_letter(raw[offsets[i] : offsets[i + 1]])
